@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from potflow.operators import nested, references
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {
+        "p2_found": nested.p2_found,
+        "p2_objects": nested.p2_objects,
+        "p4_found": references.p4_found,
+        "p4_report": references.p4_report,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(references.SQL)
