@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from potflow.llm import signature_tree, term_counts
+from potflow.llm import leakage, packing, signature_tree, term_counts
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,10 @@ def queries() -> dict[str, Callable]:
         "p1_terms": term_counts.p1_terms,
         "p6_found": signature_tree.p6_found,
         "p6_groups": signature_tree.p6_groups,
+        "p7_containers": packing.p7_containers,
+        "p7_report": packing.p7_report,
+        "p8_found": leakage.p8_found,
+        "p8_items": leakage.p8_items,
     }
 
 
