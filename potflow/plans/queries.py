@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from potflow.operators import nested, references
+from potflow.operators import nested, references, units
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "p2_objects": nested.p2_objects,
         "p4_found": references.p4_found,
         "p4_report": references.p4_report,
+        "p5_found": units.p5_found,
     }
 
 
