@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from potflow.operators import nested, references, units
+from potflow.plans import graph_queries, graph_sql, response_queries, response_sql
 
 
 def queries() -> dict[str, Callable]:
@@ -14,8 +15,10 @@ def queries() -> dict[str, Callable]:
         "p4_found": references.p4_found,
         "p4_report": references.p4_report,
         "p5_found": units.p5_found,
+        **graph_queries.QUERIES,
+        **response_queries.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(references.SQL)
+    return references.SQL | graph_sql.SQL | response_sql.SQL
