@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from potflow.operators import nested, references, units
-from potflow.plans import graph_queries, graph_sql, response_queries, response_sql
+from potflow.plans import corpus_queries, graph_queries, graph_sql, response_queries, response_sql
 
 
 def queries() -> dict[str, Callable]:
@@ -17,8 +17,9 @@ def queries() -> dict[str, Callable]:
         "p5_found": units.p5_found,
         **graph_queries.QUERIES,
         **response_queries.QUERIES,
+        **corpus_queries.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return references.SQL | graph_sql.SQL | response_sql.SQL
+    return references.SQL | graph_sql.SQL | response_sql.SQL | corpus_queries.SQL
