@@ -56,21 +56,21 @@ REPORTING = frozenset("said says wrote writes called calls quote quoted quotes r
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
 _WINDOW = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|[\r\n]+")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*·]{1,2}){2,}[^\W_](?![^\W_])")
-_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[@$*!|€](?=[^\W_]))*|[@$](?=[^\W_])[\w@$*!|]+")
+_TOKEN = re.compile(r"[@$]?[^\W_](?:[^\W_]|[@$*!|€#_%]{1,3}(?=[^\W_]))*")
+_MASK = re.compile(r"[*#_%]")
 _QUOTED = re.compile(r"[\"“„«]([^\"“”„«»]{2,}?)[\"”“»]")
 _LONG = re.compile(r"(.)\1{2,}")
 
 
 def tokens(window: str) -> list[str]:
-    """The words of a folded window: letters spelled apart are joined, masked and stretched ones made plain."""
+    """The words of a folded window: letters spelled apart are joined, stretched ones made plain, masked ones "?"."""
     window = _APART.sub(lambda m: re.sub(r"[ .\-_*·]", "", m[0]), window)
     out = []
     for w in _TOKEN.findall(window):
         if w.isdigit():
             continue
         if not w.isalpha():
-            w = w.replace("*", "")
-            w = w.translate(LEET) if any(c.isalpha() for c in w) else w
+            w = _MASK.sub("?", w.translate(LEET)) if any(c.isalpha() for c in w) else w
         out.append(_LONG.sub(r"\1", w))
     return out
 
@@ -99,7 +99,7 @@ class Trie:
             node[""] = term
 
     def near(self, word: str, most: int) -> tuple[str, int] | None:
-        """The closest term within ``most`` edits, swapped neighbours being one; ties by the term.
+        """The closest term within ``most`` edits, swapped neighbours being one; ties by the term. A "?" is any letter.
 
         The states of the word's automaton are rows of distances; a branch of the trie is left when no state is live.
         """
@@ -114,7 +114,7 @@ class Trie:
                     continue
                 new = [row[0] + 1]
                 for i in range(1, n + 1):
-                    d = min(new[i - 1] + 1, row[i] + 1, row[i - 1] + (word[i - 1] != c))
+                    d = min(new[i - 1] + 1, row[i] + 1, row[i - 1] + (word[i - 1] != c and word[i - 1] != "?"))
                     if before is not None and i > 1 and word[i - 1] == last and word[i - 2] == c:
                         d = min(d, before[i - 2] + 1)
                     new.append(d)
@@ -150,7 +150,7 @@ class Model:
         return found
 
     def resolved(self, words: list[str]) -> list[str]:
-        """Words as terms; two neighbours that only together are a term become one."""
+        """Words as terms; two neighbours that only together are a term become one, one that is two terms becomes two."""
         out, i = [], 0
         while i < len(words):
             w = words[i]
@@ -160,7 +160,9 @@ class Model:
                     out.append(t)
                     i += 2
                     continue
-            out.append(self.term(w))
+            t = self.term(w)
+            cut = next((k for k in range(3, len(w) - 2) if w[:k] in self.terms and w[k:] in self.terms), 0) if t == w and w not in self.weights and len(w) > 7 and w not in self.common else 0
+            out += [w[:cut], w[cut:]] if cut else [t]
             i += 1
         return out
 

@@ -193,7 +193,7 @@ def reference_names(reference: DataFrame) -> DataFrame:
 def mapped(values: DataFrame, reference: DataFrame) -> DataFrame:
     """values(..., text) -> the same columns without text, with canon_id (0: none) and distance (null: none).
 
-    Null and blank texts give no row. The reference list is checked for its size before it is broadcast.
+    Null and blank texts give no row. Columns of values named canon_id or distance are replaced. The reference list is checked for its size before it is broadcast.
     """
     spark = values.sparkSession
     dictionary = Dictionary([tuple(r) for r in reference_names(reference).limit(NAMES + 1).toLocalIterator()])
@@ -211,8 +211,8 @@ def mapped(values: DataFrame, reference: DataFrame) -> DataFrame:
     counted = texts.select("text").mapInArrow(count, "canon_id int, n long").groupBy("canon_id").agg(F.sum("n").alias("n"))
     dictionary.frequency = {r["canon_id"]: r["n"] for r in counted.collect()}  # one row per entry of the list
     shared = spark.sparkContext.broadcast(dictionary)
-    others = [c for c in values.columns if c != "text"]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in values.dtypes if c != "text"), "canon_id int", "distance double"])
+    others = [c for c in values.columns if c not in ("text", "canon_id", "distance")]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in values.dtypes if c in others), "canon_id int", "distance double"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary, known = shared.value, {}
