@@ -15,14 +15,22 @@ from potflow.sources.tables import key, table
 NODE = ("node_id", "node_type", "name", "category", "is_protein", "is_liquid", "op_type", "grp", "params")
 
 
-def recipes(raw: DataFrame) -> DataFrame:
+def by_recipe(rows: DataFrame) -> DataFrame:
+    """Rows shuffled by recipe_id into a fixed number of partitions, which later groupings and joins by recipe_id reuse.
+
+    Graph rows are small and dear to evaluate; adaptive execution would put them into few partitions by their size.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "recipe_id")
+
+
+def recipes(raw: DataFrame, spread: bool = False) -> DataFrame:
     """(recipe_id, dish_name, category), one row per recipe: the latest by loaded_at. Rows without recipe_id are left out."""
     rows = raw.where("recipe_id IS NOT NULL").select(key("recipe_id").alias("recipe_id"), "dish_name", "category", "loaded_at")
     latest = F.max_by(F.struct("dish_name", "category"), F.struct("loaded_at", "dish_name", "category")).alias("r")
-    return rows.groupBy("recipe_id").agg(latest).select("recipe_id", "r.dish_name", "r.category")
+    return (by_recipe(rows) if spread else rows).groupBy("recipe_id").agg(latest).select("recipe_id", "r.dish_name", "r.category")
 
 
-def nodes(raw: DataFrame) -> DataFrame:
+def nodes(raw: DataFrame, spread: bool = False) -> DataFrame:
     """(recipe_id, pos, node_id, node_type, name, category, is_protein, is_liquid, op_type, grp, params).
 
     Of rows with one node_id the last by node_seq gives the payload, the first the position. Rows without recipe_id or
@@ -33,17 +41,20 @@ def nodes(raw: DataFrame) -> DataFrame:
         F.coalesce("ingredient.is_protein", F.lit(False)).alias("is_protein"), F.coalesce("ingredient.is_liquid", F.lit(False)).alias("is_liquid"), "operation.op_type", "operation.params",
     )
     payload = F.struct("node_type", "name", "category", "is_protein", "is_liquid", "op_type", "params")
-    one = rows.groupBy("recipe_id", "node_id").agg(F.min("node_seq").alias("pos"), F.max_by(payload, F.struct("node_seq", "loaded_at", payload)).alias("p"))
+    one = (by_recipe(rows) if spread else rows).groupBy("recipe_id", "node_id").agg(F.min("node_seq").alias("pos"), F.max_by(payload, F.struct("node_seq", "loaded_at", payload)).alias("p"))
     return one.select("recipe_id", "pos", "node_id", "p.*").withColumn("grp", group_of(F.col("op_type")))
 
 
-def edges(raw: DataFrame) -> DataFrame:
+def edges(raw: DataFrame, spread: bool = False) -> DataFrame:
     """(recipe_id, src, dst, edge_seq): copies of a row count once, edges that are there several times stay."""
-    return raw.where("recipe_id IS NOT NULL").select(key("recipe_id").alias("recipe_id"), key("src").alias("src"), key("dst").alias("dst"), "edge_seq").distinct()
+    rows = raw.where("recipe_id IS NOT NULL").select(key("recipe_id").alias("recipe_id"), key("src").alias("src"), key("dst").alias("dst"), "edge_seq")
+    return (by_recipe(rows) if spread else rows).distinct()
 
 
-def long_form(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return recipes(table(spark, sf_dir, "recipes")), nodes(table(spark, sf_dir, "nodes")), edges(table(spark, sf_dir, "edges"))
+def long_form(spark, sf_dir: str, spread: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables. With ``spread`` they are shuffled by recipe_id first, for work on whole graphs: one shuffle each,
+    as the groupings and joins that follow find their rows together."""
+    return tuple(f(table(spark, sf_dir, name), spread) for f, name in ((recipes, "recipes"), (nodes, "nodes"), (edges, "edges")))
 
 
 def nested(recipes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -71,29 +82,46 @@ def indexed(rows: DataFrame) -> DataFrame:
 
 
 #: Positions of the nodes in FIFO topological order: level by level, all nodes whose predecessors stand, by the last
-#: predecessor to stand and its edge; nodes on or behind a cycle are missing.
+#: predecessor to stand and its edge; nodes on or behind a cycle are missing. The in-edges of each node are found once.
 ORDER = """
-CASE WHEN n = 0 THEN cast(array() AS array<int>) ELSE aggregate(sequence(1, n), cast(array() AS array<int>), (done, k) -> CASE WHEN size(done) = n THEN done ELSE concat(done,
-  transform(array_sort(transform(
-    filter(sequence(0, n - 1), i -> NOT array_contains(done, i) AND NOT exists(edges, e -> e.d = i AND NOT array_contains(done, e.s))),
-    i -> struct(coalesce(array_max(transform(filter(edges, e -> e.d = i), e -> struct(array_position(done, e.s) AS p, e.q AS q))), struct(cast(0 AS bigint) AS p, 0 AS q)) AS after, i AS i))),
-  x -> x.i)) END) END"""
-#: Which nodes heat; the first output's position or -1; nodes from which it is reached without heat; nodes after a start.
+CASE WHEN n = 0 THEN cast(array() AS array<int>) ELSE aggregate(sequence(1, n),
+  struct(cast(array() AS array<int>) AS o, sequence(0, n - 1) AS rest, transform(sequence(0, n - 1), i -> filter(edges, e -> e.d = i)) AS ins, true AS going),
+  (a, k) -> CASE WHEN NOT a.going THEN a ELSE aggregate(
+    array(transform(array_sort(transform(filter(a.rest, i -> NOT exists(a.ins[i], e -> NOT array_contains(a.o, e.s))),
+      i -> struct(coalesce(array_max(transform(a.ins[i], e -> struct(array_position(a.o, e.s) AS p, e.q AS q))), struct(cast(0 AS bigint) AS p, 0 AS q)) AS after, i AS i))), x -> x.i)),
+    a, (b, level) -> struct(concat(b.o, level) AS o, array_except(b.rest, level) AS rest, b.ins AS ins, size(level) > 0 AND size(level) < size(b.rest) AS going)) END,
+  a -> a.o) END"""
+#: Whether all edges lead to later nodes: then there is no cycle, and one pass over sorted edges replaces a fixpoint.
+FORWARD = "NOT exists(edges, e -> e.s >= e.d)"
+CYCLIC = f"CASE WHEN forward THEN false ELSE size({ORDER}) < n END"
+#: Which nodes heat; the first output's position or -1.
 HEATS = "transform(nodes, x -> coalesce(x.grp IN ('" + "', '".join(HEAT) + "'), false))"
 OUTPUT = "cast(array_position(transform(nodes, x -> coalesce(x.node_type, '')), 'dish_output') - 1 AS int)"
-UNHEATED = """
-CASE WHEN output < 0 THEN cast(array() AS array<int>) ELSE aggregate(sequence(1, n), array(output), (seen, k) ->
-  array_distinct(concat(seen, transform(filter(edges, e -> array_contains(seen, e.d) AND NOT heats[e.s]), e -> e.s)))) END"""
-AFTER_PLATES = """
-CASE WHEN n = 0 THEN cast(array() AS array<struct<plate: int, after: array<int>>>) ELSE
+#: Sets of up to 62 positions are kept as bits of a long. What a lambda reads from another column travels in the
+#: aggregate's state: the optimizer may put a column's expression in place of its name, and a lambda would repeat it.
+_BITS = "filter(sequence(0, n - 1), i -> (shiftright({0}, i) & 1L) = 1L)"
+#: Nodes from which the first output is reached without heat.
+UNHEATED = f"""
+CASE WHEN output < 0 THEN cast(array() AS array<int>)
+WHEN forward AND n <= 62 THEN aggregate(array_sort(transform(edges, e -> struct(-e.d AS k, e.s AS s, e.d AS d))), struct(shiftleft(1L, output) AS m, heats AS h),
+  (a, e) -> CASE WHEN (shiftright(a.m, e.d) & 1L) = 1L AND NOT a.h[e.s] THEN struct(a.m | shiftleft(1L, e.s) AS m, a.h AS h) ELSE a END, a -> {_BITS.format("a.m")})
+ELSE aggregate(sequence(1, n), struct(array(output) AS seen, heats AS h, edges AS e), (a, k) -> struct(
+  array_distinct(concat(a.seen, transform(filter(a.e, e -> array_contains(a.seen, e.d) AND NOT a.h[e.s]), e -> e.s))) AS seen, a.h AS h, a.e AS e), a -> a.seen) END"""
+#: Each plate with the nodes after it.
+AFTER_PLATES = f"""
+CASE WHEN NOT exists(nodes, x -> x.op_type = 'plate') THEN cast(array() AS array<struct<plate: int, after: array<int>>>) ELSE
 transform(filter(sequence(0, n - 1), i -> nodes[i].op_type = 'plate' AND nodes[i].node_type = 'operation'), p -> struct(p AS plate,
-  aggregate(sequence(1, n), transform(filter(edges, e -> e.s = p), e -> e.d), (seen, k) ->
-    array_distinct(concat(seen, transform(filter(edges, e -> array_contains(seen, e.s)), e -> e.d)))) AS after)) END"""
+  CASE WHEN forward AND n <= 62 THEN aggregate(array_sort(transform(edges, e -> struct(e.s AS s, e.d AS d))), shiftleft(1L, p),
+    (m, e) -> CASE WHEN (shiftright(m, e.s) & 1L) = 1L THEN m | shiftleft(1L, e.d) ELSE m END, m -> filter(sequence(0, n - 1), i -> i != p AND (shiftright(m, i) & 1L) = 1L))
+  ELSE aggregate(sequence(1, n), struct(transform(filter(edges, e -> e.s = p), e -> e.d) AS seen, edges AS e), (a, k) -> struct(
+    array_distinct(concat(a.seen, transform(filter(a.e, e -> array_contains(a.seen, e.s)), e -> e.d))) AS seen, a.e AS e), a -> array_distinct(a.seen)) END AS after)) END"""
 
 
-def analysed(graphs: DataFrame) -> DataFrame:
-    """Nested graphs with heats, output, topo (positions in topological order), unheated and after_plates."""
-    for name, expression in (("heats", HEATS), ("output", OUTPUT), ("topo", ORDER), ("unheated", UNHEATED), ("after_plates", AFTER_PLATES)):
+def analysed(graphs: DataFrame, for_rules: bool = False) -> DataFrame:
+    """Nested graphs with forward, cyclic, heats, output, unheated and after_plates. For rules, unheated is left empty
+    where no ingredient is a protein."""
+    unheated = f"CASE WHEN NOT exists(nodes, x -> x.is_protein) THEN cast(array() AS array<int>) ELSE {UNHEATED} END" if for_rules else UNHEATED
+    for name, expression in (("forward", FORWARD), ("heats", HEATS), ("output", OUTPUT), ("cyclic", CYCLIC), ("unheated", unheated), ("after_plates", AFTER_PLATES)):
         graphs = graphs.withColumn(name, F.expr(expression))
     return graphs
 

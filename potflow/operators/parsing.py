@@ -176,8 +176,10 @@ def parse(responses: DataFrame, ingredients: DataFrame) -> DataFrame:
 def distinct_responses(raw: DataFrame) -> DataFrame:
     """(response_id, recipe_id, attempt, raw): copies once; recipe_id as it is compared, null ones kept. response_id is
     a hash of the row."""
-    rows = raw.select(key("recipe_id").alias("recipe_id"), "attempt", "raw").distinct()
-    return rows.withColumn("response_id", F.md5(F.to_json(F.struct("recipe_id", "attempt", "raw"))))
+    rows = raw.select(key("recipe_id").alias("recipe_id"), "attempt", "raw")
+    rows = rows.withColumn("response_id", F.md5(F.to_json(F.struct("recipe_id", "attempt", "raw"))))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "response_id").dropDuplicates(["response_id"])
 
 
 def response_graphs(parsed_rows: DataFrame) -> DataFrame:

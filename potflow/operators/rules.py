@@ -19,7 +19,7 @@ _INPUTS = "filter(edges, e -> e.d = i)"
 
 @dataclass(frozen=True)
 class Rule:
-    """fires: an expression over nodes, ids, edges, n, heats, output, topo, unheated, after_plates."""
+    """fires: an expression over nodes, ids, edges, n, heats, output, cyclic, unheated, after_plates."""
 
     order: int
     name: str
@@ -40,7 +40,7 @@ _UNNAMED = "cast(array() AS array<string>)"
 STRUCTURE = f"""concat(
   CASE WHEN size(filter(nodes, x -> x.node_type = 'dish_output')) != 1
     THEN array(struct(concat('Expected 1 DISH_OUTPUT node, found ', size(filter(nodes, x -> x.node_type = 'dish_output'))) AS message, {_UNNAMED} AS node_ids)) ELSE {_NONE} END,
-  CASE WHEN size(topo) < n THEN array(struct(concat("RecipeDAG '", coalesce(dish_name, 'None'), "' contains a cycle — not a valid DAG.") AS message, {_UNNAMED} AS node_ids)) ELSE {_NONE} END,
+  CASE WHEN cyclic THEN array(struct(concat("RecipeDAG '", coalesce(dish_name, 'None'), "' contains a cycle — not a valid DAG.") AS message, {_UNNAMED} AS node_ids)) ELSE {_NONE} END,
   CASE WHEN n = 0 THEN {_NONE} ELSE transform(filter(sequence(0, n - 1), i -> nodes[i].node_type = 'dish_output' AND exists(edges, e -> e.s = i)),
     i -> struct('DISH_OUTPUT node has outgoing edges' AS message, {_UNNAMED} AS node_ids)) END,
   CASE WHEN n = 0 THEN {_NONE} ELSE transform(filter(sequence(0, n - 1), i -> nodes[i].node_type = 'ingredient' AND NOT exists(edges, e -> e.s = i)),
@@ -129,7 +129,7 @@ def verified(graphs: DataFrame, registry: RuleRegistry | None = None) -> DataFra
     """
     missing = "exists(nodes, x -> x.node_type IS NULL OR x.node_type = 'ingredient' AND x.name IS NULL OR x.node_type = 'operation' AND x.op_type IS NULL)"
     code = f"CASE WHEN {missing} THEN 'dag_construction_error' WHEN n_broken_edges > 0 THEN 'edge_reference_error' END"
-    rows = analysed(graphs).withColumn("violations", F.expr((registry or RuleRegistry()).expression())).withColumn("failure_code", F.expr(code))
+    rows = analysed(graphs, for_rules=True).withColumn("violations", F.expr((registry or RuleRegistry()).expression())).withColumn("failure_code", F.expr(code))
     return rows.select("recipe_id", "dish_name", "category", "failure_code", F.expr("failure_code IS NULL AND size(violations) = 0").alias("is_valid"), "violations")
 
 
@@ -151,4 +151,4 @@ def verdict_texts(verdicts: DataFrame) -> DataFrame:
 
 
 def table_verdicts(spark, sf_dir: str) -> DataFrame:
-    return verified(nested(*long_form(spark, sf_dir)))
+    return verified(nested(*long_form(spark, sf_dir, spread=True)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from potflow.operators.graphs import by_recipe
 from potflow.operators.vocabulary import ingredient_rows, operation_rows
 from potflow.sources.tables import table
 
@@ -37,7 +38,7 @@ def graphs(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = found.select(rid, F.explode(F.expr(own)).alias("x")).select("recipe_id", "x.*")
     edges = lines.select(rid, F.explode(F.expr(links)).alias("x")).select("recipe_id", "x.*")
     recipes = lines.where("pos = 1").select(rid, F.concat(F.lit("Dish "), F.col("rid")).alias("dish_name"), F.expr("array('pasta', 'eggs', 'salad', 'stir_fry', 'soup')[cast(rid % 5 AS int)]").alias("category"))
-    return recipes, nodes, edges
+    return tuple(by_recipe(x) for x in (recipes, nodes, edges))
 
 
 SQL = """WITH RECURSIVE

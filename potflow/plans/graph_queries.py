@@ -15,7 +15,7 @@ from potflow.sources.tables import table
 
 
 def nested(spark, sf_dir: str) -> DataFrame:
-    return graphs.nested(*long_form(spark, sf_dir))
+    return graphs.nested(*long_form(spark, sf_dir, spread=True))
 
 
 def violation_rows(spark, sf_dir: str) -> DataFrame:
@@ -41,16 +41,19 @@ def levels(spark, sf_dir: str) -> DataFrame:
 
 
 def violation_counts(verdicts: DataFrame) -> DataFrame:
-    """(rule, n): violations per rule, and recipes under the name "recipes", valid ones under "valid"."""
-    counts = rules.violations(verdicts).groupBy("rule").agg(F.count("*").alias("n"))
-    return counts.unionByName(verdicts.select(F.explode(F.expr("CASE WHEN is_valid THEN array('recipes', 'valid') ELSE array('recipes') END")).alias("rule")).groupBy("rule").agg(F.count("*").alias("n")))
+    """(rule, n): violations per rule, and recipes under the name "recipes", valid ones under "valid". One pass."""
+    names = F.expr("concat(array('recipes'), CASE WHEN is_valid THEN array('valid') ELSE cast(array() AS array<string>) END, transform(violations, v -> v.rule))")
+    return verdicts.select(names.alias("names")).select(F.explode_outer("names").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def level_rows(graph_rows: DataFrame) -> DataFrame:
     """Length of the longest way to each node that isn't on or behind a cycle."""
     rows = graph_rows.withColumn("topo", F.expr(graphs.ORDER))
-    depth = """aggregate(topo, cast(map() AS map<int, int>), (m, i) -> map_concat(m, map(i, coalesce(array_max(transform(filter(edges, e -> e.d = i), e -> m[e.s] + 1)), 0))))"""
-    return rows.select("recipe_id", "ids", F.explode_outer(F.expr(depth)).alias("i", "level")).where("i IS NOT NULL").select("recipe_id", F.expr("ids[i]").alias("node_id"), "level")
+    levels = """CASE WHEN size(topo) = 0 THEN cast(array() AS array<struct<i: int, level: int>>) ELSE aggregate(sequence(0, size(topo) - 1), struct(cast(array() AS array<int>) AS ls, topo AS t, edges AS e),
+      (a, k) -> struct(concat(a.ls, array(coalesce(array_max(transform(filter(a.e, e -> e.d = a.t[k]), e -> a.ls[cast(array_position(a.t, e.s) - 1 AS int)] + 1)), 0))) AS ls, a.t AS t, a.e AS e),
+      a -> transform(a.t, (i, k) -> struct(i AS i, a.ls[k] AS level))) END"""
+    rows = graphs.exploded(rows.withColumn("levels", F.expr(levels)).select("recipe_id", "ids", "levels"), "levels", "x")
+    return rows.select("recipe_id", F.expr("ids[x.i]").alias("node_id"), "x.level")
 
 
 def reach(column: str) -> Callable:
