@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from potflow.operators import evaluation, graphs, rules
+from potflow.operators import evaluation, graphs, long_rules, rules
 from potflow.operators.vocabulary import GROUP_OF, ingredient_rows
 
 NODE_DDL = "recipe_id string, pos int, node_id string, node_type string, name string, category string, is_protein boolean, is_liquid boolean, op_type string, grp string, params string"
@@ -189,3 +189,28 @@ def test_dirty_tables(spark):
     assert row.failure_code == "dag_construction_error" and not row.is_valid
     assert {(r.node_id, r.n_in, r.n_out) for r in graphs.degrees(graphs.nodes(raw), edges).collect()} == {("n0", 0, 2), ("n1", 3, 0), ("n2", 0, 0)}
     assert rules.verified(graphs.nested(recipes.limit(0), graphs.nodes(raw), edges)).count() == 0
+
+
+def test_chain_longer_than_a_long_has_bits(spark):
+    """Over 62 nodes, in order and against it: the fixpoint and the pass over bits give the same."""
+    chain = [ing("e", "eggs"), *(op(f"o{i}", "plate" if i == 3 else "stir") for i in range(70)), op("h", "bake"), op("p", "plate"), OUT]
+    edges = [(a[0], b[0]) for a, b in zip(chain, chain[1:])]
+    short = chain[:4] + chain[-3:]
+    got, _ = fired(spark, {"chain": (chain, edges), "back": (chain[::-1], edges), "short": (short, [(a[0], b[0]) for a, b in zip(short, short[1:])])})
+    assert got["chain"] == got["back"] == [("no_heat_after_plate", ["o3", "h"])] and got["short"] == []
+
+
+def test_long_rules_give_the_same(spark):
+    """Random graphs with cycles, several outputs and edges to nowhere."""
+    import random
+
+    rng = random.Random(7)
+    kinds = [("ingredient", "eggs"), ("ingredient", "water"), ("ingredient", "salt"), ("operation", "plate"), ("operation", "boil"), ("operation", "season"), ("operation", "blend"), ("operation", "mix"), ("operation", "saute")]
+    cases = {}
+    for g in range(40):
+        nodes = [(f"n{i}", *rng.choice(kinds)) for i in range(rng.randint(0, 5))] + [OUT] * (rng.random() < 0.8)
+        ids = [n[0] for n in nodes] + ["ghost"] * (rng.random() < 0.2)
+        cases[f"g{g}"] = (nodes, [(rng.choice(ids), rng.choice(ids)) for _ in range(rng.randint(0, 8))] if ids else [])
+    long = tables(spark, cases)
+    own = {(r.recipe_id, v.rule, v.message, ",".join(v.node_ids)) for r in rules.verified(graphs.nested(*long)).collect() for v in r.violations}
+    assert own == {(r.recipe_id, r.rule, r.message, r.nodes) for r in long_rules.violations(*long).collect()} and len(own) > 20
