@@ -51,6 +51,14 @@ PAIRS = [
 ]
 PRIOR = {t: 5.0 for t in STRONG} | {t: 2.0 for t in WEAK} | {p: 1.5 for p in PAIRS}
 LEXICON = frozenset(STRONG) | frozenset(WEAK)
+#: Ordinary words within the edits of a term, which need no harmless labelled document to be none.
+ORDINARY = frozenset(
+    "like bike hike luck duck buck puck suck tuck lick kick pick sick tick wick nick deck rock lock sock dock cook cork cocky corn born torn porn pork count aunt "
+    "ditch pitch stitch witch where whole shore break bread freaky that what shut shot spit shirt slit slot wine swing thigh twine filth fresh rude dude nuke "
+    "dich dicke hatte hätte pita pata puts pate merge olla bolla pollo marcha minute viver vivid".split()
+) - LEXICON
+#: Weight from which a learned word is looked for in disguise too, however frequent it is.
+HEAVY = 1.0
 #: Words of reporting; characters written for letters.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes reads heard word words term comment moderator deleted removed reported sagte schrieb nannte dit écrit appelé dijo escribió llamó detto scritto chiamato".split())
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
@@ -129,11 +137,11 @@ def edits(word: str) -> int:
 
 
 class Model:
-    """Weights of words and word pairs, a constant, the lexicon trie, the words known as harmless, and the threshold."""
+    """Weights of words and word pairs, a constant, the lexicon trie, the words that are no slips, and the threshold."""
 
     def __init__(self, weights: dict, common: set[str], constant: float = 0.0, threshold: float = 0.0):
         self.weights, self.common, self.constant, self.threshold = weights, common, constant, threshold
-        self.terms = {f for f, w in weights.items() if isinstance(f, str) and w > 0.5 and f not in common}
+        self.terms = {f for f, w in weights.items() if isinstance(f, str) and w > 0.5 and (w >= HEAVY or f not in common)}
         self.trie = Trie(t for t in self.terms if len(t) > 3)
         self.known: dict[str, str] = {}
 
@@ -205,25 +213,39 @@ def fitted(rows: list[list[int]], bad: np.ndarray, prior: np.ndarray, rounds: in
     return w
 
 
+def no_slips(weights: dict, usual: frozenset[str], harmless: Counter) -> set[str]:
+    """Words to be read as they stand. harmless: in how many harmless labelled documents a word is. Two of these suffice.
+    A usual word needs one if it is masked or within the edits of a term, as disguises can be frequent too."""
+    trie = Trie(t for t in LEXICON.union(f for f, w in weights.items() if isinstance(f, str) and w >= HEAVY) if len(t) > 3)
+
+    def suspect(word: str) -> bool:
+        return "?" in word or 3 < len(word) < 40 and word not in ORDINARY and trie.near(word, edits(word)) not in (None, (word, 0))
+
+    held = {w for w, n in harmless.items() if n > 1}
+    return {w for w in held.union(w for w in usual if harmless[w] or not suspect(w)) if w not in LEXICON}
+
+
 def learned(documents: list[tuple[str, int]], usual: frozenset[str] = frozenset()) -> Model:
     """A model from (text, toxic) pairs. A toxic document has at least one bad window, not known which: in turns the
     worst windows are taken as bad and the weights fitted to that. Documents without a window that looks bad, as wrong
-    labels have, are left out from the second turn on. usual: words frequent in the collection; they are no slips."""
+    labels have, are left out from the second turn on. usual: words frequent in the collection, see no_slips. Copies of
+    a text that are mostly labelled toxic are no harmless documents."""
     split = [([sorted(features(tokens(w)), key=str) for w in windows(text)], bool(toxic)) for text, toxic in documents]
-    counts, words_in = Counter(), Counter()
-    for ws, toxic in split:
+    counts, words_in, votes = Counter(), Counter(), Counter()
+    for text, toxic in documents:
+        votes[text] += 1 if toxic else -1
+    for (text, _), (ws, toxic) in zip(documents, split):
         if toxic:
             counts.update({f for w in ws for f in w})
-        else:
+        elif votes[text] <= 0:
             words_in.update({f for w in ws for f in w if isinstance(f, str)})
-    common = {w for w in usual.union(w for w, n in words_in.items() if n > 1) if w not in LEXICON}
     number = {f: i for i, f in enumerate(sorted({f for f, n in counts.items() if n > 2} | set(PRIOR), key=str))}
     prior = np.array([PRIOR.get(f, 0.0) for f in number])
     rows = [[number[f] for f in w if f in number] for ws, _ in split for w in ws]
     doc = np.repeat(np.arange(len(split)), [len(ws) for ws, _ in split])
     toxic = np.array([t for _, t in split], bool)
     if toxic.sum() < 5 or toxic.all():
-        return Model(dict(PRIOR), common, -4.5, 0.0)
+        return Model(dict(PRIOR), no_slips(PRIOR, usual, words_in), -4.5, 0.0)
     bad, used = toxic[doc], np.ones(len(doc), bool)
     for _ in range(4):
         kept = np.flatnonzero(used)
@@ -233,7 +255,8 @@ def learned(documents: list[tuple[str, int]], usual: frozenset[str] = frozenset(
         np.maximum.at(top, doc, score)
         bad = toxic[doc] & (score >= np.maximum(-1.0, np.minimum(top[doc], 0.5)))
         used = ~toxic[doc] | (top[doc] >= -1.0)
-    model = Model({f: round(float(w[i]), 4) for f, i in number.items() if abs(w[i]) > 0.02}, common, round(float(w[-1]), 4))
+    weights = {f: round(float(w[i]), 4) for f, i in number.items() if abs(w[i]) > 0.02}
+    model = Model(weights, no_slips(weights, usual, words_in), round(float(w[-1]), 4))
     scored = sorted(((model.document(text)[0], bool(t)) for text, t in documents), reverse=True)
     total, right, best = sum(t for _, t in scored), 0, (-1.0, 0.0)
     for i, (s, t) in enumerate(scored):
@@ -246,8 +269,9 @@ def learned(documents: list[tuple[str, int]], usual: frozenset[str] = frozenset(
 
 
 def usual_words(documents: DataFrame, share: float = 0.001, least: int = 3) -> frozenset[str]:
-    """Words in at least ``share`` of all documents. As a document adds each of its words once, there are at most
-    1 / share times as many as a document has on average, however large the collection."""
+    """Words in at least ``share`` of all distinct texts, so that copies of one text make none of its words usual. As a
+    text adds each of its words once, there are at most 1 / share times as many as a text has on average, however large
+    the collection."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -264,7 +288,7 @@ def usual_words(documents: DataFrame, share: float = 0.001, least: int = 3) -> f
                 yield out()
         yield out()
 
-    texts = documents.where("text IS NOT NULL").select("text")
+    texts = documents.where("text IS NOT NULL").select("text").distinct()
     enough = texts.agg(F.greatest(F.lit(least), F.ceil(F.count("*") * share))).scalar()
     counts = spread(texts).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return frozenset(r["word"] for r in counts.where(F.col("n") >= enough).select("word").toLocalIterator())

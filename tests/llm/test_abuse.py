@@ -95,3 +95,19 @@ def test_found(spark, folder):
 def test_empty(spark, save):
     path = save(documents=spark.createDataFrame([], "doc_id long, text string, source string"), doc_labels=spark.createDataFrame([], "doc_id long, toxic int"))
     assert abuse.p9_found(spark, path).count() == 0 and abuse.p9_rates(spark, path).count() == 0
+
+
+def test_frequent_disguises_are_still_looked_up(spark, save):
+    docs = corpus(300, random.Random(1))
+    model = abuse.learned(docs, frozenset(["mroon", "imbecil", "f?ck", "luck", "whale"]))
+    bad = lambda text: model.document(text)[0] >= model.threshold
+    assert bad("you are a mroon") and bad("what an imbecil you are") and bad("oh f*ck you") and not {"mroon", "imbecil", "f?ck"} & model.common
+    assert {"luck", "whale"} <= model.common and "imbecil" not in abuse.learned([], frozenset(["imbecil"])).common
+    held = abuse.learned([*docs, ("a mroon is a cake", 0)], frozenset(["mroon"]))
+    assert "mroon" in held.common and "mroon" not in abuse.learned([*docs, ("a mroon", 0), ("a mroon", 1), ("a mroon", 1)], frozenset(["mroon"])).common
+    heavy = abuse.Model({"griggin": 1.4, "lemons": 0.6}, {"griggin", "lemons"})
+    assert heavy.term("grigin") == "griggin" and heavy.term("lemonss") == "lemonss"
+    rows = [(i, text, "s", None) for i, (text, _) in enumerate(docs)] + [(1000 + i, "the stew was bland. you absolute imbecil", "s", None) for i in range(150)]
+    path = save(documents=spark.createDataFrame(rows, "doc_id long, text string, source string, score string"), doc_labels=spark.createDataFrame([(i, y) for i, (_, y) in enumerate(docs)], "doc_id long, toxic int"))
+    assert {r.doc_id for r in abuse.p9_found(spark, path).collect()} >= {1000 + i for i in range(150)}
+    assert not {"imbecil", "absolute"} & abuse.usual_words(spark.read.parquet(f"{path}/documents.parquet"))
