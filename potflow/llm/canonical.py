@@ -3,7 +3,7 @@
 Every name and alias of the list, in singular and plural and with its words in any order, is written without spaces
 and stored under all strings that arise from it by leaving out up to two characters. A typed value is cut into words;
 each window of words, written together and with up to two characters left out, meets the entries within two edits in
-this dictionary. Candidates are ranked by a weighted Damerau-Levenshtein distance against the characters they explain,
+this dictionary; rn for m and the like are no edit here. Candidates are ranked by a weighted Damerau-Levenshtein distance against the characters they explain,
 ties by how often the entry stands exactly in the data, and a value without a candidate close enough means none.
 """
 
@@ -131,6 +131,15 @@ def distance(a: str, b: str, most: float = 2.0) -> float:
     return rows[-1][-1]
 
 
+def spellings(word: str) -> set[str]:
+    """The word, and the word with the longer side of PAIRS written as the shorter: no slip of that kind is left."""
+    plain = word
+    for (long, short) in PAIRS:
+        if len(long) > 1:
+            plain = plain.replace(long, short)
+    return {word, plain}
+
+
 class Dictionary:
     """Names under the strings they leave when characters are left out. names: (canon_id, name or alias)."""
 
@@ -149,7 +158,7 @@ class Dictionary:
         self.entries = list(self.exact.items())
         index: dict[str, list[int]] = defaultdict(list)
         for i, (name, _) in enumerate(self.entries):
-            for s in shortened(name, EDITS if allowed(len(name)) > 1 else int(allowed(len(name)))):
+            for s in set().union(*(shortened(w, EDITS) for w in spellings(name))) if allowed(len(name)) else ():
                 index[s].append(i)
         self.index = dict(index)
         self.longest = max(map(len, self.exact), default=0) + EDITS
@@ -157,7 +166,7 @@ class Dictionary:
     def near(self, word: str) -> dict[int, tuple[float, int]]:
         """canon_id -> (distance, length) of the closest name within the allowed distance."""
         seen, out = set(), {}
-        for s in shortened(word, EDITS if len(word) > 6 else 1):
+        for s in set().union(*(shortened(w, EDITS) for w in spellings(word))):
             for i in self.index.get(s, ()):
                 if i not in seen:
                     seen.add(i)

@@ -68,3 +68,15 @@ def test_found(spark, layer1, save):
     assert tuple(canonical.mapped(clash, reference).first()) == (2, 0.0)
     with pytest.raises(ValueError):
         canonical.Dictionary([(i, f"name {i}") for i in range(canonical.NAMES + 1)])
+
+
+def test_two_cheap_edits_in_short_names():
+    names = ["lemon", "clams", "olives", "honey", "walnut", "cornmeal", "endive", "thyme", "chives", "corns"]
+    d = canonical.Dictionary(list(enumerate(names, 1)))
+    assert d.best(("lernon",)) == (1, 0.6) and d.best(("1ernon",)) == (1, 1.0) and d.best(("o1lves",)) == (3, 0.8) and d.best(("hohey",)) == (4, 0.4)
+    slips = [(*p, c) for p, c in canonical.PAIRS.items()] + [(*order, c) for pair, c in canonical.NEAR.items() for order in (sorted(pair), sorted(pair)[::-1])]
+    changed = lambda w: {w[:i] + b + w[i + len(a) :] for a, b, _ in slips for i in range(len(w)) if w.startswith(a, i)}
+    for name, canon in d.entries:
+        for word in set().union(*map(changed, changed(name))):
+            if (far := canonical.distance(word, name)) <= canonical.allowed(len(name)):
+                assert d.near(word).get(canon, (9,))[0] <= far, (name, word)
