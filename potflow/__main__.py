@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,9 @@ from pyspark.sql import functions as F
 from potflow.operators import evaluation
 from potflow.operators.parsing import parse
 from potflow.operators.rules import verdict_texts, verified
-from potflow.operators.vocabulary import dim_ingredient, user_prompt
+from potflow.operators.vocabulary import dim_ingredient, dim_operation, system_prompt, user_prompt
 from potflow.sources import json_io, replay
+from potflow.sources.tables import written
 
 
 def arguments(args: list[str]) -> argparse.Namespace:
@@ -23,19 +26,28 @@ def arguments(args: list[str]) -> argparse.Namespace:
     coverage.add_argument("--responses", required=True, help="recorded responses: Parquet with prompt_hash and raw")
     coverage.add_argument("--n", type=int, default=200)
     coverage.add_argument("--partition", default="test")
+    coverage.add_argument("--client", help="module:function that takes the system prompt and gives a client; asked where nothing is recorded")
+    coverage.add_argument("--delay", type=float, default=0.5, help="seconds between two calls of a client in a task")
     coverage.add_argument("--out", default="data/coverage_results")
     coverage.add_argument("--verbose", action="store_true")
     commands.add_parser("recall", help="recall of the rules on the labelled suite").add_argument("--verbose", action="store_true")
     return parser.parse_args(args)
 
 
-def coverage(spark: SparkSession, corpus_path: str, responses: DataFrame, n: int, partition: str) -> DataFrame:
-    """The per-response report of a sample of a corpus, with recorded responses; a prompt without one is an api_error."""
+def coverage(spark: SparkSession, corpus_path: str, responses: DataFrame, n: int, partition: str, client: Callable[..., Callable[[str], str]] | None = None, delay: float = 0.5) -> DataFrame:
+    """The per-response report of a sample of a corpus, with recorded responses. A prompt without one is put to the
+    client, with the system prompt and ``delay`` seconds between two calls of a task; without a client it is an api_error."""
     chosen = json_io.sampled(json_io.read_corpus(spark, corpus_path, partition), n)
     texts = lambda c: F.filter(F.coalesce(F.col(f"{c}.text"), F.array().cast("array<string>")), lambda x: x.isNotNull())
     prompt = user_prompt(F.coalesce("title", F.lit("")), texts("ingredients"), texts("instructions"))
-    prompts = chosen.select(F.coalesce("id", F.lit("")).alias("recipe_id"), replay.prompt_hash(prompt).alias("prompt_hash"))
-    raw = replay.replayed(prompts, responses).select(F.col("recipe_id").alias("response_id"), "recipe_id", F.lit(1).alias("attempt"), "raw")
+    prompts = chosen.select(F.coalesce("id", F.lit("")).alias("recipe_id"), prompt.alias("prompt"), replay.prompt_hash(prompt).alias("prompt_hash"))
+    raw = replay.replayed(prompts, responses)
+    if client:
+        system = system_prompt(dim_ingredient(spark), dim_operation(spark)).first()["prompt"]
+        missing = prompts.join(responses.where("raw IS NOT NULL"), "prompt_hash", "left_anti")
+        asked = written(replay.asked(missing, client, pause=delay, system=system), "asked")
+        raw = raw.where("raw IS NOT NULL").unionByName(asked.drop("prompt"), allowMissingColumns=True)
+    raw = raw.select(F.col("recipe_id").alias("response_id"), "recipe_id", F.lit(1).alias("attempt"), "raw")
     return evaluation.reported(parse(raw, dim_ingredient(spark)))
 
 
@@ -53,7 +65,9 @@ def main(args: list[str]) -> None:
         evaluation.recall_by_rule(results).orderBy("expected_rule").show(100, False)
         evaluation.recall_summary(results).show(1, False)
         return
-    report = coverage(spark, options.corpus_path, spark.read.parquet(options.responses), options.n, options.partition)
+    module, _, name = (options.client or "").partition(":")
+    client = getattr(importlib.import_module(module), name) if module else None
+    report = coverage(spark, options.corpus_path, spark.read.parquet(options.responses), options.n, options.partition, client, options.delay)
     json_io.write_results(report, options.out)
     report = spark.read.schema(report.schema).json(options.out)
     if options.verbose:

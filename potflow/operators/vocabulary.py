@@ -131,6 +131,38 @@ def vocabulary_block(ingredients: DataFrame, operations: DataFrame) -> DataFrame
     return ingredients.sparkSession.range(1).select(block.alias("block"))
 
 
+#: Fixed value: what follows the vocabulary in a system prompt.
+INSTRUCTIONS = """
+Answer with one JSON object and nothing else, in this form:
+{
+  "dish_name": "...",
+  "category": "%s|out_of_scope",
+  "nodes": [
+    {"node_id": "n0", "node_type": "ingredient", "ingredient": {"name": "...", "category": "%s", "is_protein": false, "is_liquid": false}},
+    {"node_id": "n1", "node_type": "operation", "operation": {"op_type": "...", "params": {}}},
+    {"node_id": "n2", "node_type": "dish_output"}
+  ],
+  "edges": [["n0", "n1"], ["n1", "n2"]]
+}
+
+RULES:
+1. Give each ingredient as the nearest allowed key and leave out what has none near; if more than half of the main ones have none, the category is "out_of_scope".
+2. Give each step as the nearest allowed operation.
+3. Edges follow the order of the steps: an ingredient goes into the first operation that uses it, an operation into the next, and every path ends in dish_output.
+4. Each ingredient has exactly one outgoing edge.
+5. Each operation has one outgoing edge, the last one to dish_output.
+6. There is exactly one dish_output, at the end.
+7. An ingredient's name may be written with spaces; its category is one of those in the form, letter by letter.
+8. A dish of another category than the allowed ones is "out_of_scope"; dish_output alone is enough then."""
+
+
+def system_prompt(ingredients: DataFrame, operations: DataFrame) -> DataFrame:
+    """One row (prompt): the vocabulary block, the form of the answer and the rules."""
+    kinds = ingredients.select(F.array_join(F.array_sort(F.collect_set("category")), "|")).scalar()
+    text = F.format_string(INSTRUCTIONS, F.lit("|".join(DISH_CATEGORIES)), kinds)
+    return vocabulary_block(ingredients, operations).select(F.concat("block", F.lit("\n"), text).alias("prompt"))
+
+
 def user_prompt(title: Column, ingredients: Column, instructions: Column) -> Column:
     """The text that asks for a recipe's graph: title, bullets, numbered steps."""
     bullets = F.array_join(F.transform(ingredients, lambda x: F.concat(F.lit("  - "), x)), "\n")

@@ -35,12 +35,12 @@ def with_retries(call: Callable[[str], str], prompt: str, retries: int = 3, dela
     return None
 
 
-def asked(prompts: DataFrame, client: Callable[[], Callable[[str], str]], retries: int = 3, delay: float = 2.0, pause: float = 0.5, at_once: int = 8) -> DataFrame:
-    """prompts(recipe_id, prompt) -> (recipe_id, prompt, raw). client() makes one client per task; ``pause`` seconds pass
+def asked(prompts: DataFrame, client: Callable[..., Callable[[str], str]], retries: int = 3, delay: float = 2.0, pause: float = 0.5, at_once: int = 8, system: str | None = None) -> DataFrame:
+    """prompts(recipe_id, prompt) -> (recipe_id, prompt, raw). client() or, with a system prompt, client(system) makes one client per task; ``pause`` seconds pass
     between two calls of a task; ``at_once`` tasks at most call at one time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call, first = client(), True
+        call, first = client() if system is None else client(system), True
         for batch in batches:
             raw = []
             for prompt in batch["prompt"]:
