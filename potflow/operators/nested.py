@@ -149,12 +149,26 @@ def flatten_responses(responses: DataFrame) -> dict[str, DataFrame]:
     return {"objects": objects.join(counts, "object_id", "left").fillna(0, ["n_occurrences"]), "bridges": bridges, "occurrences": occurrences, "stored": stored}
 
 
-def flatten_layer1(layer1: DataFrame) -> DataFrame:
-    """Current rows -> (id, member, pos, object_id, text), a row for each array element with a text, blank ones too."""
-    rows = current(layer1).select("id", "ingredients", "instructions")
+def flatten_layer1(layer1: DataFrame) -> dict[str, DataFrame]:
+    """Current rows -> objects, bridges, occurrences, as for responses, by built-in functions: the arrays are flat.
+
+    objects(object_id, kind, height, ordinals, n_occurrences): each distinct array of texts once, with the positions of
+    its texts, blank ones too; bridges(object_id, ordinal, member, child_id, scalar): its elements, nulls too, child_id being
+    the identity of the text; occurrences(id, member, object_id): one for each array that isn't null.
+    """
     member = F.explode(F.array(*(F.struct(F.lit(c).alias("member"), F.col(f"{c}.text").alias("texts")) for c in ("ingredients", "instructions")))).alias("m")
-    flat = rows.select("id", member).select("id", "m.member", F.posexplode("m.texts").alias("pos", "text")).where("text IS NOT NULL")
-    return flat.select("id", "member", "pos", F.md5("text").alias("object_id"), "text")
+    arrays = current(layer1).select("id", "ingredients", "instructions").select("id", member).select("id", "m.member", "m.texts").where("texts IS NOT NULL")
+    below = F.transform("texts", lambda x: F.coalesce(F.md5(x), F.lit("-")))
+    stored = written(arrays.withColumn("object_id", F.md5(F.array_join(below, ","))), "layer1")
+    places = F.filter(F.transform("texts", lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull()).alias("ordinals")
+    objects = stored.select("object_id", places).groupBy("object_id").agg(F.first("ordinals").alias("ordinals"), F.count("*").alias("n_occurrences"))
+    elements = stored.groupBy("object_id").agg(F.first("texts").alias("texts")).select("object_id", F.posexplode("texts").alias("ordinal", "scalar"))
+    bridges = elements.select("object_id", "ordinal", F.col("ordinal").cast("string").alias("member"), F.md5("scalar").alias("child_id"), "scalar")
+    return {
+        "objects": objects.select("object_id", F.lit("array").alias("kind"), F.lit(1).alias("height"), "ordinals", "n_occurrences"),
+        "bridges": bridges,
+        "occurrences": stored.select("id", "member", "object_id"),
+    }
 
 
 def leaves(responses: DataFrame) -> DataFrame:
@@ -171,7 +185,9 @@ def leaves(responses: DataFrame) -> DataFrame:
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
     """Texts of current layer1 rows and scalar leaves of the responses, each with its record and place."""
-    texts = flatten_layer1(table(spark, sf_dir, "layer1"))
+    flat = flatten_layer1(table(spark, sf_dir, "layer1"))
+    objects = flat["objects"].where("size(ordinals) > 0").select("object_id", "ordinals")
+    texts = flat["occurrences"].join(objects, "object_id").select("id", "member", F.explode("ordinals").alias("pos"))
     texts = texts.select(F.lit("layer1").alias("src_table"), F.col("id").alias("record_key"), F.lit(0).alias("attempt"), F.col("pos").alias("child_seq"), F.col("member").alias("path"))
     deep = leaves(table(spark, sf_dir, "responses"))
     return texts.unionByName(deep.select(F.lit("responses").alias("src_table"), F.col("recipe_id").alias("record_key"), "attempt", "child_seq", "path"))

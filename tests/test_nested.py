@@ -62,3 +62,13 @@ def test_found(spark, layer1, save):
 def test_empty(spark, layer1, save):
     folder = save(responses=spark.createDataFrame([], RESPONSES), layer1=layer1([]))
     assert nested.p2_found(spark, folder).count() == 0 and nested.p2_objects(spark, folder).count() == 0
+
+
+def test_layer1_arrays_are_stored_once(spark, layer1):
+    flat = nested.flatten_layer1(layer1([("a", "t", ["x", None, " "], ["x"], 1), ("b", "t", ["x", None, " "], [], 1), ("c", "t", ["x", "", " "], None, 1)]))
+    objects = {r.object_id: (r.ordinals, r.n_occurrences) for r in flat["objects"].collect()}
+    assert sorted(objects.values()) == [([], 1), ([0], 1), ([0, 1, 2], 1), ([0, 2], 2)]
+    places = [(r.id, r.member, r.object_id) for r in flat["occurrences"].collect()]
+    bridges = {(r.object_id, r.ordinal): r.scalar for r in flat["bridges"].collect()}
+    assert len(places) == 5 and {o for *_, o in places} == set(objects) and len(bridges) == 7
+    assert {(i, m, k) for i, m, o in places for k in objects[o][0]} == {(i, m, k) for i, m, o in places for (b, k), text in bridges.items() if b == o and text is not None}
