@@ -27,16 +27,19 @@ def arguments(args: list[str]) -> argparse.Namespace:
     coverage.add_argument("--n", type=int, default=200)
     coverage.add_argument("--partition", default="test")
     coverage.add_argument("--client", help="module:function that takes the system prompt and gives a client; asked where nothing is recorded")
-    coverage.add_argument("--delay", type=float, default=0.5, help="seconds between two calls of a client in a task")
-    coverage.add_argument("--out", default="data/coverage_results")
+    coverage.add_argument("--endpoint", help="instead of a client, the address of a chat completions service")
+    coverage.add_argument("--model", default="sonar", help="the model that the service is asked for")
+    coverage.add_argument("--key-variable", default="API_KEY", help="environment variable with the service's key")
+    coverage.add_argument("--delay", type=float, default=0.5, help="seconds between two calls, over all tasks")
+    coverage.add_argument("--out", default="data/coverage_results", help="folder for the rows (recipes) and one document of counts (summary)")
     coverage.add_argument("--verbose", action="store_true")
     commands.add_parser("recall", help="recall of the rules on the labelled suite").add_argument("--verbose", action="store_true")
     return parser.parse_args(args)
 
 
 def coverage(spark: SparkSession, corpus_path: str, responses: DataFrame, n: int, partition: str, client: Callable[..., Callable[[str], str]] | None = None, delay: float = 0.5) -> DataFrame:
-    """The per-response report of a sample of a corpus, with recorded responses. A prompt without one is put to the
-    client, with the system prompt and ``delay`` seconds between two calls of a task; without a client it is an api_error."""
+    """The report of a sample of a corpus, a row per recipe with its title, with recorded responses. A prompt without one is
+    put to the client, with the system prompt and ``delay`` seconds between two calls; without a client it is an api_error."""
     chosen = json_io.sampled(json_io.read_corpus(spark, corpus_path, partition), n)
     texts = lambda c: F.filter(F.coalesce(F.col(f"{c}.text"), F.array().cast("array<string>")), lambda x: x.isNotNull())
     prompt = user_prompt(F.coalesce("title", F.lit("")), texts("ingredients"), texts("instructions"))
@@ -48,7 +51,8 @@ def coverage(spark: SparkSession, corpus_path: str, responses: DataFrame, n: int
         asked = written(replay.asked(missing, client, pause=delay, system=system), "asked")
         raw = raw.where("raw IS NOT NULL").unionByName(asked.drop("prompt"), allowMissingColumns=True)
     raw = raw.select(F.col("recipe_id").alias("response_id"), "recipe_id", F.lit(1).alias("attempt"), "raw")
-    return evaluation.reported(parse(raw, dim_ingredient(spark)))
+    titles = chosen.select(F.coalesce("id", F.lit("")).alias("recipe_id"), F.coalesce("title", F.lit("")).alias("title"))
+    return evaluation.reported(parse(raw, dim_ingredient(spark))).join(titles, "recipe_id", "left")
 
 
 def main(args: list[str]) -> None:
@@ -67,14 +71,18 @@ def main(args: list[str]) -> None:
         return
     module, _, name = (options.client or "").partition(":")
     client = getattr(importlib.import_module(module), name) if module else None
+    if options.endpoint and not client:
+        client = replay.chat_client(options.endpoint, options.model, options.key_variable)
     report = coverage(spark, options.corpus_path, spark.read.parquet(options.responses), options.n, options.partition, client, options.delay)
-    json_io.write_results(report, options.out)
-    report = spark.read.schema(report.schema).json(options.out)
+    json_io.write_results(report, f"{options.out}/recipes")
+    report = spark.read.schema(report.schema).json(f"{options.out}/recipes")
+    evaluation.summary(report).coalesce(1).write.mode("overwrite").text(f"{options.out}/summary")
     if options.verbose:
-        report.select("recipe_id", "status", "failure_code", "is_valid", F.slice("violations", 1, 3).alias("violations")).show(options.n, False)
+        report.select("recipe_id", "title", "status", "failure_code", "is_valid", F.slice("violations", 1, 3).alias("violations")).show(options.n, False)
     evaluation.counters(report).show(1, False)
-    for histogram in (evaluation.category_histogram, evaluation.rule_histogram, evaluation.failure_histogram):
+    for histogram in (evaluation.category_histogram, evaluation.rule_histogram):
         histogram(report).orderBy("place").show(100, False)
+    evaluation.failure_reasons(report).orderBy(F.desc("n"), "failure_reason").show(100, False)
 
 
 if __name__ == "__main__":

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from potflow.operators.labelled import suite
 from potflow.operators.parsing import parsed_table, response_graphs
 from potflow.operators.rules import verified
 from potflow.sources.tables import written
@@ -35,13 +36,33 @@ def counters(report: DataFrame) -> DataFrame:
 
 
 def histogram(report: DataFrame, column: Column, name: str) -> DataFrame:
-    """(name, n, place): values by descending number, equal ones by name. Places are counted after the aggregation."""
+    """(name, n, place): values by descending number, equal ones by name. Places are counted after the aggregation, in one
+    task: for columns with a fixed set of values, as categories, rules and failure codes are."""
     from pyspark.sql import Window
 
     counts = report.select(column.alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
     return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), name)))
 
 
+def failure_reasons(report: DataFrame) -> DataFrame:
+    """(failure_reason, n): failures by code and detail, as many rows as there are different details."""
+    reason = F.concat_ws(": ", "failure_code", "failure_detail").alias("failure_reason")
+    return report.where("failure_code IS NOT NULL").groupBy(reason).agg(F.count("*").alias("n"))
+
+
+def summary(report: DataFrame) -> DataFrame:
+    """One row (document): counts, shares and the numbers by category, rule and reason as one JSON object."""
+    members = lambda name: F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "n")))).alias("m")
+    maps = {
+        "categories": category_histogram(report).agg(members("category")),
+        "violation_counts": rule_histogram(report).agg(members("rule")),
+        "failure_reasons": failure_reasons(report).agg(members("failure_reason")),
+    }
+    counts = counters(report)
+    whole = counts.select(F.struct(*counts.columns, *(df.scalar().alias(name) for name, df in maps.items())).alias("s"))
+    return whole.select(F.to_json("s", {"pretty": "true"}).alias("document"))
+
+
 def category_histogram(report: DataFrame) -> DataFrame:
     return histogram(report, F.when(F.col("status") == "success", F.col("category")), "category")
 
@@ -81,54 +102,6 @@ def recall_summary(results: DataFrame) -> DataFrame:
     return counts.withColumn("recall", F.coalesce(F.try_divide("true_positives", "n_violation_cases"), F.lit(0.0)))
 
 
-#: The labelled suite. a+b>x:op feeds a and b into node x of operation op; "dish" is the output; names in
-#: the vocabulary give ingredients, steps are told apart by a number after the operation.
-SUITE = {
-    "valid:arrabbiata": ("none", "penne+water>boil garlic>chop olive_oil+chop+tomato+chili_flakes>saute boil+saute>combine combine+salt>season season>plate plate>dish"),
-    "valid:stir_fry": ("none", "chicken_breast>slice1 bell_pepper>slice2 garlic>mince sesame_oil+slice1+mince>saute saute+slice2+soy_sauce>toss toss>plate plate>dish"),
-    "viol:raw_protein": ("raw_protein_before_plate", "chicken_breast+lettuce+olive_oil>combine combine>plate plate>dish"),
-    "viol:solid_before_blend": ("solid_before_blend", "carrot+vegetable_broth>blend blend>plate plate>dish"),
-    "viol:heat_after_plate": ("no_heat_after_plate", "eggs+butter>plate plate>saute saute>dish"),
-    "viol:moist_no_liquid": ("moist_heat_needs_liquid", "spaghetti>boil boil>plate plate>dish"),
-    "viol:combine_single": ("combine_needs_multiple_inputs", "eggs>mix mix>plate plate>dish"),
-    "viol:dangling_output": ("no_dangling_outputs", "carrot>chop lettuce+tomato>toss toss>plate plate>dish"),
-    "viol:season_no_target": ("season_needs_target", "salt+black_pepper>season season+lettuce>toss toss>plate plate>dish"),
-    "viol:dag_structure": ("dag_structure", "spaghetti+water>boil boil>plate plate>dish garlic"),
-}
-
-
-def suite(spark) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(labelled, recipes, nodes, edges) of the labelled suite."""
-    from potflow.operators.vocabulary import GROUP_OF, ingredient_rows
-
-    known = {r[0]: r[1:5] for r in ingredient_rows()}
-    labels, recipes, nodes, edges = [], [], [], []
-    for case, (rule, flows) in SUITE.items():
-        labels.append((case, case, rule))
-        recipes.append((case, case, "pasta"))
-        names: dict[str, int] = {}
-        for flow in flows.split():
-            inputs, _, target = flow.partition(">")
-            for name in [*inputs.split("+"), *([target] if target else [])]:
-                names.setdefault(name, len(names))
-            edges += [(case, i, target, sum(e[0] == case for e in edges) + k) for k, i in enumerate(inputs.split("+")) if target]
-        for name, pos in names.items():
-            op = name.rstrip("0123456789")
-            if name == "dish":
-                nodes.append((case, pos, name, "dish_output", None, None, False, False, None, None, None))
-            elif op in GROUP_OF and name not in known:
-                nodes.append((case, pos, name, "operation", None, None, False, False, op, GROUP_OF[op], "{}"))
-            else:
-                nodes.append((case, pos, name, "ingredient", *known[name], None, None, None))
-    node_ddl = "recipe_id string, pos int, node_id string, node_type string, name string, category string, is_protein boolean, is_liquid boolean, op_type string, grp string, params string"
-    return (
-        spark.createDataFrame(labels, "case_name string, recipe_id string, expected_rule string"),
-        spark.createDataFrame(recipes, "recipe_id string, dish_name string, category string"),
-        spark.createDataFrame(nodes, node_ddl),
-        spark.createDataFrame(edges, "recipe_id string, src string, dst string, edge_seq int"),
-    )
-
-
 def suite_results(spark) -> DataFrame:
     from potflow.operators.graphs import nested
 

@@ -1,7 +1,7 @@
 """Process graphs in long and nested form, and operators on them.
 
 Long form: recipes, nodes and edges as tables. Nested form: one row per recipe with its nodes in order and its edges as
-pairs of node positions; fixpoints run inside the row with higher-order functions, so they need no shuffle and no state.
+pairs of node positions; fixpoints run batch by batch on these rows (see walks), so they need no shuffle and no state.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from potflow.operators.vocabulary import HEAT, group_of
+from potflow.operators.walks import order_of, walked
 from potflow.sources.tables import key, table
 
 NODE = ("node_id", "node_type", "name", "category", "is_protein", "is_liquid", "op_type", "grp", "params")
@@ -81,49 +82,27 @@ def indexed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_broken_edges", F.expr("size(found) - size(edges)")).drop("pairs", "found")
 
 
-#: Positions of the nodes in FIFO topological order: level by level, all nodes whose predecessors stand, by the last
-#: predecessor to stand and its edge; nodes on or behind a cycle are missing. The in-edges of each node are found once.
-ORDER = """
-CASE WHEN n = 0 THEN cast(array() AS array<int>) ELSE aggregate(sequence(1, n),
-  struct(cast(array() AS array<int>) AS o, sequence(0, n - 1) AS rest, transform(sequence(0, n - 1), i -> filter(edges, e -> e.d = i)) AS ins, true AS going),
-  (a, k) -> CASE WHEN NOT a.going THEN a ELSE aggregate(
-    array(transform(array_sort(transform(filter(a.rest, i -> NOT exists(a.ins[i], e -> NOT array_contains(a.o, e.s))),
-      i -> struct(coalesce(array_max(transform(a.ins[i], e -> struct(array_position(a.o, e.s) AS p, e.q AS q))), struct(cast(0 AS bigint) AS p, 0 AS q)) AS after, i AS i))), x -> x.i)),
-    a, (b, level) -> struct(concat(b.o, level) AS o, array_except(b.rest, level) AS rest, b.ins AS ins, size(level) > 0 AND size(level) < size(b.rest) AS going)) END,
-  a -> a.o) END"""
-#: Whether all edges lead to later nodes: then there is no cycle, and one pass over sorted edges replaces a fixpoint.
+#: Whether all edges lead to later nodes: then there is no cycle.
 FORWARD = "NOT exists(edges, e -> e.s >= e.d)"
-CYCLIC = f"CASE WHEN forward THEN false ELSE size({ORDER}) < n END"
-#: Which nodes heat; the first output's position or -1.
+#: Which nodes heat; the first output's position or -1; the plates.
 HEATS = "transform(nodes, x -> coalesce(x.grp IN ('" + "', '".join(HEAT) + "'), false))"
 OUTPUT = "cast(array_position(transform(nodes, x -> coalesce(x.node_type, '')), 'dish_output') - 1 AS int)"
-#: Sets of up to 62 positions are kept as bits of a long. What a lambda reads from another column travels in the
-#: aggregate's state: the optimizer may put a column's expression in place of its name, and a lambda would repeat it.
-_BITS = "filter(sequence(0, n - 1), i -> (shiftright({0}, i) & 1L) = 1L)"
-#: Nodes from which the first output is reached without heat.
-UNHEATED = f"""
-CASE WHEN output < 0 THEN cast(array() AS array<int>)
-WHEN forward AND n <= 62 THEN aggregate(array_sort(transform(edges, e -> struct(-e.d AS k, e.s AS s, e.d AS d))), struct(shiftleft(1L, output) AS m, heats AS h),
-  (a, e) -> CASE WHEN (shiftright(a.m, e.d) & 1L) = 1L AND NOT a.h[e.s] THEN struct(a.m | shiftleft(1L, e.s) AS m, a.h AS h) ELSE a END, a -> {_BITS.format("a.m")})
-ELSE aggregate(sequence(1, n), struct(array(output) AS seen, heats AS h, edges AS e), (a, k) -> struct(
-  array_distinct(concat(a.seen, transform(filter(a.e, e -> array_contains(a.seen, e.d) AND NOT a.h[e.s]), e -> e.s))) AS seen, a.h AS h, a.e AS e), a -> a.seen) END"""
-#: Each plate with the nodes after it.
-AFTER_PLATES = f"""
-CASE WHEN NOT exists(nodes, x -> x.op_type = 'plate') THEN cast(array() AS array<struct<plate: int, after: array<int>>>) ELSE
-transform(filter(sequence(0, n - 1), i -> nodes[i].op_type = 'plate' AND nodes[i].node_type = 'operation'), p -> struct(p AS plate,
-  CASE WHEN forward AND n <= 62 THEN aggregate(array_sort(transform(edges, e -> struct(e.s AS s, e.d AS d))), shiftleft(1L, p),
-    (m, e) -> CASE WHEN (shiftright(m, e.s) & 1L) = 1L THEN m | shiftleft(1L, e.d) ELSE m END, m -> filter(sequence(0, n - 1), i -> i != p AND (shiftright(m, i) & 1L) = 1L))
-  ELSE aggregate(sequence(1, n), struct(transform(filter(edges, e -> e.s = p), e -> e.d) AS seen, edges AS e), (a, k) -> struct(
-    array_distinct(concat(a.seen, transform(filter(a.e, e -> array_contains(a.seen, e.s)), e -> e.d))) AS seen, a.e AS e), a -> array_distinct(a.seen)) END AS after)) END"""
+PLATES = "CASE WHEN n = 0 THEN cast(array() AS array<int>) ELSE filter(sequence(0, n - 1), i -> coalesce(nodes[i].op_type = 'plate' AND nodes[i].node_type = 'operation', false)) END"
+
+
+def with_order(graphs: DataFrame) -> DataFrame:
+    """Nested graphs with topo (positions in topological order) and levels (the longest way to each of these)."""
+    return graphs.withColumn("order", order_of("n", "edges")).withColumns({"topo": F.col("order.topo"), "levels": F.col("order.levels")}).drop("order")
 
 
 def analysed(graphs: DataFrame, for_rules: bool = False) -> DataFrame:
     """Nested graphs with forward, cyclic, heats, output, unheated and after_plates. For rules, unheated is left empty
     where no ingredient is a protein."""
-    unheated = f"CASE WHEN NOT exists(nodes, x -> x.is_protein) THEN cast(array() AS array<int>) ELSE {UNHEATED} END" if for_rules else UNHEATED
-    for name, expression in (("forward", FORWARD), ("heats", HEATS), ("output", OUTPUT), ("cyclic", CYCLIC), ("unheated", unheated), ("after_plates", AFTER_PLATES)):
+    for name, expression in (("forward", FORWARD), ("heats", HEATS), ("output", OUTPUT), ("plates", PLATES)):
         graphs = graphs.withColumn(name, F.expr(expression))
-    return graphs
+    wanted = F.expr("CASE WHEN exists(nodes, x -> x.is_protein) THEN output ELSE -1 END") if for_rules else F.col("output")
+    walks = walked("n", "edges", "forward", "heats", wanted, "plates")
+    return graphs.withColumn("walks", walks).withColumns({c: F.col(f"walks.{c}") for c in ("cyclic", "unheated", "after_plates")}).drop("walks", "plates")
 
 
 def exploded(rows: DataFrame, array: str, element: str) -> DataFrame:
@@ -134,13 +113,13 @@ def exploded(rows: DataFrame, array: str, element: str) -> DataFrame:
 
 def topological(graphs: DataFrame) -> DataFrame:
     """(recipe_id, node_id, rank) from 0; recipes with a cycle give only the nodes before it."""
-    ranked = graphs.withColumn("topo", F.expr(ORDER)).select("recipe_id", "ids", F.posexplode_outer("topo").alias("rank", "i"))
+    ranked = with_order(graphs).select("recipe_id", "ids", F.posexplode_outer("topo").alias("rank", "i"))
     return ranked.where("i IS NOT NULL").select("recipe_id", F.expr("ids[i]").alias("node_id"), "rank")
 
 
 def cyclic(graphs: DataFrame) -> DataFrame:
     """(recipe_id, n_stuck): recipes with a cycle and how many nodes stand on or behind one."""
-    rows = graphs.withColumn("topo", F.expr(ORDER)).select("recipe_id", F.expr("CASE WHEN size(topo) < n THEN array(n - size(topo)) END").alias("stuck"))
+    rows = with_order(graphs).select("recipe_id", F.expr("CASE WHEN size(topo) < n THEN array(n - size(topo)) END").alias("stuck"))
     return exploded(rows, "stuck", "n_stuck").drop("stuck")
 
 
@@ -194,7 +173,7 @@ def texts(graphs: DataFrame) -> DataFrame:
     A recipe with a cycle has a null text; so has one with an operation outside the vocabulary.
     """
     label = "transform(nodes, x -> CASE x.node_type WHEN 'ingredient' THEN coalesce(x.name, 'None') WHEN 'operation' THEN x.op_type ELSE 'DISH' END)"
-    rows = graphs.withColumn("topo", F.expr(ORDER)).withColumn("labels", F.expr(label))
+    rows = with_order(graphs).withColumn("labels", F.expr(label))
     steps = "transform(filter(topo, i -> nodes[i].node_type = 'operation'), i -> concat(labels[i], ' ', coalesce(nullif(array_join(transform(filter(edges, e -> e.d = i), e -> labels[e.s]), ' and '), ''), 'ingredients')))"
     text = f"""
       CASE WHEN size(topo) = n AND NOT exists(nodes, x -> x.node_type = 'operation' AND x.grp IS NULL) THEN

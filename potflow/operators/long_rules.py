@@ -1,6 +1,6 @@
 """The rules on graphs of any size: joins on the long tables, reachability as a loop over frontiers.
 
-operators.rules evaluates a graph in one row, which is faster for graphs of up to some thousand nodes. Here no row and no
+operators.rules evaluates a graph in one row, which is faster for graphs of up to IN_ROW nodes and edges. Here no row and no
 task holds a whole graph. A loop takes as many rounds as the longest shortest way; each round is a join of the frontier.
 """
 
@@ -11,8 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from potflow.operators import rules
 from potflow.operators.vocabulary import HEAT, IN_LIQUID
-from potflow.sources.tables import written
+from potflow.sources.tables import dropped, written
+
+#: Nodes and edges up to which a recipe is evaluated in one row: about 2 MB, a second of work at most.
+IN_ROW = 5_000
 
 
 def reached(seeds: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
@@ -21,7 +25,7 @@ def reached(seeds: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
     while not frontier.isEmpty():
         new = frontier.join(steps, ["recipe_id", "node_id"]).select(*keys, F.col("to").alias("node_id")).distinct()
         frontier = written(new.join(seen, [*keys, "node_id"], "left_anti"), "frontier")
-        seen = seen.unionByName(frontier)
+        seen = seen.unionByName(frontier)  # what was reached is kept, round by round; nothing in it is stored twice
     return seen
 
 
@@ -30,11 +34,12 @@ def unranked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rest = written(nodes.select("recipe_id", "node_id"), "rest")
     open_edges = edges.select("recipe_id", "src", "dst").distinct()
     while True:
-        open_edges = written(open_edges.join(rest.withColumnRenamed("node_id", "src"), ["recipe_id", "src"], "left_semi"), "open")
-        held = written(rest.join(open_edges.select("recipe_id", F.col("dst").alias("node_id")), ["recipe_id", "node_id"], "left_semi"), "rest")
+        left = written(open_edges.join(rest.withColumnRenamed("node_id", "src"), ["recipe_id", "src"], "left_semi"), "open")
+        held = written(rest.join(left.select("recipe_id", F.col("dst").alias("node_id")), ["recipe_id", "node_id"], "left_semi"), "rest")
         if held.count() == rest.count():
             return held
-        rest = held
+        dropped(open_edges, rest)
+        open_edges, rest = left, held
 
 
 def violations(recipes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -47,7 +52,6 @@ def violations(recipes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     side = lambda end: ends.select("recipe_id", *(F.col(c).alias(end if c == "node_id" else f"{end}_{c}") for c in ends.columns[1:]))
     edges = written(edges.join(side("src"), ["recipe_id", "src"]).join(side("dst"), ["recipe_id", "dst"]), "edges")
     ops, ingredients, outputs = (nodes.where(F.col("node_type") == k) for k in ("operation", "ingredient", "dish_output"))
-    name = F.coalesce("name", F.lit("None"))
     none = F.lit("")
 
     def found(rows: DataFrame, order: int, rule: str, message: Column, at: Column) -> DataFrame:
@@ -56,7 +60,6 @@ def violations(recipes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     def without(rows: DataFrame, inputs: DataFrame, end: str) -> DataFrame:
         return rows.join(inputs.select("recipe_id", F.col(end).alias("node_id")), ["recipe_id", "node_id"], "left_anti")
 
-    text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
     counts = recipes.join(outputs.groupBy("recipe_id").count(), "recipe_id", "left").withColumn("k", F.coalesce("count", F.lit(0))).where("k != 1")
     looped = recipes.join(unranked(nodes, edges).select("recipe_id").distinct(), "recipe_id", "left_semi")
     first = outputs.groupBy("recipe_id").agg(F.min_by("node_id", "pos").alias("node_id"))
@@ -70,17 +73,33 @@ def violations(recipes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     tasty = edges.where("src_node_type = 'operation' OR src_node_type = 'ingredient' AND NOT coalesce(src_category = 'seasoning', false)")
     inputs = edges.groupBy("recipe_id", F.col("dst").alias("node_id")).agg(F.count("*").alias("k"))
     few = ops.where("op_type IN ('combine', 'mix', 'toss')").join(inputs, ["recipe_id", "node_id"], "left").withColumn("k", F.coalesce("k", F.lit(0))).where("k < 2")
+    told = lambda message, **parts: F.expr(rules.said(message, **parts))
+    going_on = outputs.join(edges.select("recipe_id", F.col("src").alias("node_id")), ["recipe_id", "node_id"], "left_semi")
     rows = [
-        found(counts, 0, "dag_structure", text("Expected 1 DISH_OUTPUT node, found ", F.col("k").cast("string")), none),
-        found(looped, 0, "dag_structure", text("RecipeDAG '", F.coalesce("dish_name", F.lit("None")), "' contains a cycle — not a valid DAG."), none),
-        found(outputs.join(edges.select("recipe_id", F.col("src").alias("node_id")), ["recipe_id", "node_id"], "left_semi"), 0, "dag_structure", text("DISH_OUTPUT node has outgoing edges"), none),
-        found(without(ingredients, edges, "src"), 0, "dag_structure", text("Ingredient '", name, "' (", F.col("node_id"), ") has no outgoing edges — unused"), none),
-        found(raw, 1, "raw_protein_before_plate", text("[FDA] Protein '", name, "' reaches the dish without passing through any heat operation"), F.col("node_id")),
-        found(solid, 2, "solid_before_blend", text("[DC] Solid ingredient '", F.coalesce("src_name", F.lit("None")), "' enters BLEND without any preparation"), F.concat_ws(",", "src", "dst")),
-        found(heated, 3, "no_heat_after_plate", text("[MILK/serve] Heat operation '", F.col("op_type"), "' appears after PLATE"), F.concat_ws(",", "plate", "node_id")),
-        found(without(ops.where(F.col("op_type").isin(*IN_LIQUID)), wet, "dst"), 4, "moist_heat_needs_liquid", text("[PHYS] '", F.col("op_type"), "' has no liquid input — moist heat requires a liquid medium"), F.col("node_id")),
-        found(few, 5, "combine_needs_multiple_inputs", text("[MILK/combine] '", F.col("op_type"), "' has ", F.col("k").cast("string"), " input(s); requires ≥2"), F.col("node_id")),
-        found(without(ops, edges, "src"), 6, "no_dangling_outputs", text("[MILK/serve] Operation '", F.coalesce("op_type", F.lit("None")), "' (", F.col("node_id"), ") has no successors — output is never consumed"), F.col("node_id")),
-        found(without(ops.where("op_type = 'season'"), tasty, "dst"), 7, "season_needs_target", text("[DC] SEASON has no non-seasoning input"), F.col("node_id")),
+        found(counts, 0, "dag_structure", told(rules.OUTPUTS, k="k"), none),
+        found(looped, 0, "dag_structure", told(rules.LOOP, dish="dish_name"), none),
+        found(going_on, 0, "dag_structure", told(rules.GOES_ON), none),
+        found(without(ingredients, edges, "src"), 0, "dag_structure", told(rules.UNUSED, name="name", id="node_id"), none),
+        found(raw, 1, "raw_protein_before_plate", told(rules.RAW, name="name"), F.col("node_id")),
+        found(solid, 2, "solid_before_blend", told(rules.SOLID, name="src_name"), F.concat_ws(",", "src", "dst")),
+        found(heated, 3, "no_heat_after_plate", told(rules.LATE_HEAT, op="op_type"), F.concat_ws(",", "plate", "node_id")),
+        found(without(ops.where(F.col("op_type").isin(*IN_LIQUID)), wet, "dst"), 4, "moist_heat_needs_liquid", told(rules.DRY, op="op_type"), F.col("node_id")),
+        found(few, 5, "combine_needs_multiple_inputs", told(rules.FEW, op="op_type", k="k"), F.col("node_id")),
+        found(without(ops, edges, "src"), 6, "no_dangling_outputs", told(rules.OPEN, op="op_type", id="node_id"), F.col("node_id")),
+        found(without(ops.where("op_type = 'season'"), tasty, "dst"), 7, "season_needs_target", told(rules.NO_TARGET), F.col("node_id")),
     ]
     return reduce(DataFrame.unionByName, rows)
+
+
+def of_any_size(recipes: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = IN_ROW) -> DataFrame:
+    """violations, with the recipes of up to ``most`` nodes and edges evaluated in a row each and the larger ones by joins.
+
+    Sizes are counted first, on two columns; if no recipe is larger, nothing else is added to the plan.
+    """
+    ends = nodes.select("recipe_id").unionByName(edges.select("recipe_id"))
+    large = written(ends.groupBy("recipe_id").count().where(F.col("count") > most).select("recipe_id"), "large")
+    own = lambda df, how: df.join(large, "recipe_id", how)
+    some = not large.isEmpty()
+    small = [own(df, "left_anti") for df in (recipes, nodes, edges)] if some else [recipes, nodes, edges]
+    rows = rules.violations(rules.verified(rules.nested(*small))).withColumn("nodes", F.array_join("node_ids", ",")).drop("node_ids")
+    return rows.unionByName(violations(*(own(df, "left_semi") for df in (recipes, nodes, edges)))) if some else rows

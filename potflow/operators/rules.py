@@ -6,6 +6,7 @@ All rules are evaluated in one projection over the row.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -36,65 +37,62 @@ def guarded(fires: str) -> str:
     return f"CASE WHEN n = 0 THEN {_NONE} ELSE {fires} END"
 
 
+#: The messages of the rules.
+OUTPUTS = "Expected 1 DISH_OUTPUT node, found {k}"
+LOOP = "RecipeDAG '{dish}' contains a cycle — not a valid DAG."
+GOES_ON = "DISH_OUTPUT node has outgoing edges"
+UNUSED = "Ingredient '{name}' ({id}) has no outgoing edges — unused"
+RAW = "[FDA] Protein '{name}' reaches the dish without passing through any heat operation"
+SOLID = "[DC] Solid ingredient '{name}' enters BLEND without any preparation"
+LATE_HEAT = "[MILK/serve] Heat operation '{op}' appears after PLATE"
+DRY = "[PHYS] '{op}' has no liquid input — moist heat requires a liquid medium"
+FEW = "[MILK/combine] '{op}' has {k} input(s); requires ≥2"
+OPEN = "[MILK/serve] Operation '{op}' ({id}) has no successors — output is never consumed"
+NO_TARGET = "[DC] SEASON has no non-seasoning input"
+
+
+def said(message: str, **parts: str) -> str:
+    """The SQL of a message, its places filled with SQL expressions; null ones read None."""
+    pieces = re.split(r"\{(\w+)\}", message)
+    return "concat(" + ", ".join(f'"{x}"' if i % 2 == 0 else f"coalesce(cast({parts[x]} AS string), 'None')" for i, x in enumerate(pieces) if x) + ")"
+
+
 _UNNAMED = "cast(array() AS array<string>)"
+_COUNT = "size(filter(nodes, x -> x.node_type = 'dish_output'))"
+_GIVEN = f"NOT exists({_INPUTS}, e -> nodes[e.s].node_type = 'operation' OR nodes[e.s].node_type = 'ingredient' AND "
 STRUCTURE = f"""concat(
-  CASE WHEN size(filter(nodes, x -> x.node_type = 'dish_output')) != 1
-    THEN array(struct(concat('Expected 1 DISH_OUTPUT node, found ', size(filter(nodes, x -> x.node_type = 'dish_output'))) AS message, {_UNNAMED} AS node_ids)) ELSE {_NONE} END,
-  CASE WHEN cyclic THEN array(struct(concat("RecipeDAG '", coalesce(dish_name, 'None'), "' contains a cycle — not a valid DAG.") AS message, {_UNNAMED} AS node_ids)) ELSE {_NONE} END,
+  CASE WHEN {_COUNT} != 1 THEN array(struct({said(OUTPUTS, k=_COUNT)} AS message, {_UNNAMED} AS node_ids)) ELSE {_NONE} END,
+  CASE WHEN cyclic THEN array(struct({said(LOOP, dish="dish_name")} AS message, {_UNNAMED} AS node_ids)) ELSE {_NONE} END,
   CASE WHEN n = 0 THEN {_NONE} ELSE transform(filter(sequence(0, n - 1), i -> nodes[i].node_type = 'dish_output' AND exists(edges, e -> e.s = i)),
-    i -> struct('DISH_OUTPUT node has outgoing edges' AS message, {_UNNAMED} AS node_ids)) END,
+    i -> struct({said(GOES_ON)} AS message, {_UNNAMED} AS node_ids)) END,
   CASE WHEN n = 0 THEN {_NONE} ELSE transform(filter(sequence(0, n - 1), i -> nodes[i].node_type = 'ingredient' AND NOT exists(edges, e -> e.s = i)),
-    i -> struct(concat("Ingredient '", coalesce(nodes[i].name, 'None'), "' (", ids[i], ') has no outgoing edges — unused') AS message, {_UNNAMED} AS node_ids)) END)"""
+    i -> struct({said(UNUSED, name="nodes[i].name", id="ids[i]")} AS message, {_UNNAMED} AS node_ids)) END)"""
 
-#: The rules in their order; messages are fixed values.
+#: The rules in their order.
 RULES = [
     Rule(0, "dag_structure", STRUCTURE),
     Rule(
         1,
         "raw_protein_before_plate",
         "transform(filter(sequence(0, n - 1), i -> nodes[i].node_type = 'ingredient' AND nodes[i].is_protein AND array_contains(unheated, i)), "
-        "i -> struct(concat(\"[FDA] Protein '\", coalesce(nodes[i].name, 'None'), \"' reaches the dish without passing through any heat operation\") AS message, array(ids[i]) AS node_ids))",
+        f"i -> struct({said(RAW, name='nodes[i].name')} AS message, array(ids[i]) AS node_ids))",
     ),
     Rule(
         2,
         "solid_before_blend",
         "transform(filter(edges, e -> nodes[e.d].node_type = 'operation' AND nodes[e.d].op_type = 'blend' AND nodes[e.s].node_type = 'ingredient' AND NOT nodes[e.s].is_liquid), "
-        "e -> struct(concat(\"[DC] Solid ingredient '\", coalesce(nodes[e.s].name, 'None'), \"' enters BLEND without any preparation\") AS message, array(ids[e.s], ids[e.d]) AS node_ids))",
+        f"e -> struct({said(SOLID, name='nodes[e.s].name')} AS message, array(ids[e.s], ids[e.d]) AS node_ids))",
     ),
     Rule(
         3,
         "no_heat_after_plate",
         "flatten(transform(after_plates, p -> transform(filter(p.after, h -> heats[h] AND nodes[h].node_type = 'operation'), "
-        "h -> struct(concat(\"[MILK/serve] Heat operation '\", nodes[h].op_type, \"' appears after PLATE\") AS message, array(ids[p.plate], ids[h]) AS node_ids))))",
-    ),
-    Rule(
-        4,
-        "moist_heat_needs_liquid",
-        per_operation(
-            "'boil', 'simmer', 'braise', 'poach'",
-            f"NOT exists({_INPUTS}, e -> nodes[e.s].node_type = 'operation' OR nodes[e.s].node_type = 'ingredient' AND nodes[e.s].is_liquid)",
-            "concat(\"[PHYS] '\", nodes[i].op_type, \"' has no liquid input — moist heat requires a liquid medium\")",
-        ),
-    ),
-    Rule(
-        5,
-        "combine_needs_multiple_inputs",
-        per_operation("'combine', 'mix', 'toss'", f"size({_INPUTS}) < 2", f"concat(\"[MILK/combine] '\", nodes[i].op_type, \"' has \", size({_INPUTS}), ' input(s); requires ≥2')"),
-    ),
-    Rule(
-        6,
-        "no_dangling_outputs",
-        per_operation("", "NOT exists(edges, e -> e.s = i)", "concat(\"[MILK/serve] Operation '\", coalesce(nodes[i].op_type, 'None'), \"' (\", ids[i], ') has no successors — output is never consumed')"),
-    ),
-    Rule(
-        7,
-        "season_needs_target",
-        per_operation(
-            "'season'",
-            f"NOT exists({_INPUTS}, e -> nodes[e.s].node_type = 'operation' OR nodes[e.s].node_type = 'ingredient' AND NOT coalesce(nodes[e.s].category = 'seasoning', false))",
-            "'[DC] SEASON has no non-seasoning input'",
-        ),
+        f"h -> struct({said(LATE_HEAT, op='nodes[h].op_type')} AS message, array(ids[p.plate], ids[h]) AS node_ids))))",
     ),
+    Rule(4, "moist_heat_needs_liquid", per_operation("'boil', 'simmer', 'braise', 'poach'", _GIVEN + "nodes[e.s].is_liquid)", said(DRY, op="nodes[i].op_type"))),
+    Rule(5, "combine_needs_multiple_inputs", per_operation("'combine', 'mix', 'toss'", f"size({_INPUTS}) < 2", said(FEW, op="nodes[i].op_type", k=f"size({_INPUTS})"))),
+    Rule(6, "no_dangling_outputs", per_operation("", "NOT exists(edges, e -> e.s = i)", said(OPEN, op="nodes[i].op_type", id="ids[i]"))),
+    Rule(7, "season_needs_target", per_operation("'season'", _GIVEN + "NOT coalesce(nodes[e.s].category = 'seasoning', false))", said(NO_TARGET))),
 ]
 
 

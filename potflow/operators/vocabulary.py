@@ -5,13 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed values. group: requires_heat, least inputs, names with the greatest number of inputs (0: any).
+#: Fixed values: (operation, group, greatest number of inputs, 0 for any).
+OPERATIONS = [
+    ("chop", "prep", 1),
+    ("slice", "prep", 1),
+    ("dice", "prep", 1),
+    ("mince", "prep", 1),
+    ("peel", "prep", 1),
+    ("grate", "prep", 1),
+    ("drain", "prep", 1),
+    ("rinse", "prep", 1),
+    ("saute", "dry_heat", 5),
+    ("fry", "dry_heat", 3),
+    ("sear", "dry_heat", 2),
+    ("roast", "dry_heat", 5),
+    ("bake", "dry_heat", 5),
+    ("grill", "dry_heat", 3),
+    ("broil", "dry_heat", 3),
+    ("toast", "dry_heat", 2),
+    ("boil", "moist_heat", 3),
+    ("simmer", "moist_heat", 5),
+    ("steam", "moist_heat", 3),
+    ("poach", "moist_heat", 2),
+    ("braise", "moist_heat", 5),
+    ("mix", "combine", 0),
+    ("blend", "combine", 0),
+    ("whisk", "combine", 0),
+    ("fold", "combine", 0),
+    ("toss", "combine", 0),
+    ("stir", "combine", 0),
+    ("combine", "combine", 0),
+    ("season", "finish", 0),
+    ("plate", "finish", 0),
+    ("garnish", "finish", 0),
+    ("rest", "finish", 1),
+]
+#: Group, whether it heats, least number of inputs.
 OPERATION_GROUPS = {
-    "prep": (False, 1, "chop 1, slice 1, dice 1, mince 1, peel 1, grate 1, drain 1, rinse 1"),
-    "dry_heat": (True, 1, "saute 5, fry 3, sear 2, roast 5, bake 5, grill 3, broil 3, toast 2"),
-    "moist_heat": (True, 1, "boil 3, simmer 5, steam 3, poach 2, braise 5"),
-    "combine": (False, 2, "mix 0, blend 0, whisk 0, fold 0, toss 0, stir 0, combine 0"),
-    "finish": (False, 1, "season 0, plate 0, garnish 0, rest 1"),
+    "prep": (False, 1),
+    "dry_heat": (True, 1),
+    "moist_heat": (True, 1),
+    "combine": (False, 2),
+    "finish": (False, 1),
 }
 #: Operations that cook in a liquid; the operation a group's name stands for.
 IN_LIQUID = ("boil", "simmer", "braise", "poach")
@@ -19,18 +54,70 @@ GROUP_DEFAULTS = {"prep": "chop", "dry_heat": "saute", "moist_heat": "simmer", "
 HEAT = ("dry_heat", "moist_heat")
 DISH_CATEGORIES = ("pasta", "eggs", "salad", "stir_fry", "soup")
 NODE_TYPES = ("ingredient", "operation", "dish_output")
-#: The built-in ingredients by category.
-INGREDIENTS = {
-    "protein": "chicken breast, ground beef, salmon, eggs, tofu, shrimp, bacon, guanciale, pancetta",
-    "vegetable": "tomato, spinach, broccoli, bell pepper, mushroom, carrot, zucchini, celery, lettuce, cucumber, corn, peas",
-    "allium": "garlic, onion, shallot, scallion",
-    "grain": "spaghetti, fettuccine, penne, rice, flour, breadcrumbs",
-    "dairy": "butter, parmesan, mozzarella, cream, milk, heavy cream",
-    "fat": "olive oil, vegetable oil, sesame oil",
-    "seasoning": "salt, black pepper, cumin, paprika, oregano, basil, soy sauce, chili flakes, thyme, rosemary",
-    "liquid": "water, chicken broth, vegetable broth, white wine, lemon juice, tomato sauce, vinegar",
-    "fruit": "lemon, lime, cherry tomato",
-}
+#: The categories and the built-in ingredients: (name, category).
+CATEGORIES = ("protein", "vegetable", "allium", "grain", "dairy", "fat", "seasoning", "liquid", "fruit")
+INGREDIENTS = [
+    ("chicken breast", "protein"),
+    ("ground beef", "protein"),
+    ("salmon", "protein"),
+    ("eggs", "protein"),
+    ("tofu", "protein"),
+    ("shrimp", "protein"),
+    ("bacon", "protein"),
+    ("guanciale", "protein"),
+    ("pancetta", "protein"),
+    ("tomato", "vegetable"),
+    ("spinach", "vegetable"),
+    ("broccoli", "vegetable"),
+    ("bell pepper", "vegetable"),
+    ("mushroom", "vegetable"),
+    ("carrot", "vegetable"),
+    ("zucchini", "vegetable"),
+    ("celery", "vegetable"),
+    ("lettuce", "vegetable"),
+    ("cucumber", "vegetable"),
+    ("corn", "vegetable"),
+    ("peas", "vegetable"),
+    ("garlic", "allium"),
+    ("onion", "allium"),
+    ("shallot", "allium"),
+    ("scallion", "allium"),
+    ("spaghetti", "grain"),
+    ("fettuccine", "grain"),
+    ("penne", "grain"),
+    ("rice", "grain"),
+    ("flour", "grain"),
+    ("breadcrumbs", "grain"),
+    ("butter", "dairy"),
+    ("parmesan", "dairy"),
+    ("mozzarella", "dairy"),
+    ("cream", "dairy"),
+    ("milk", "dairy"),
+    ("heavy cream", "dairy"),
+    ("olive oil", "fat"),
+    ("vegetable oil", "fat"),
+    ("sesame oil", "fat"),
+    ("salt", "seasoning"),
+    ("black pepper", "seasoning"),
+    ("cumin", "seasoning"),
+    ("paprika", "seasoning"),
+    ("oregano", "seasoning"),
+    ("basil", "seasoning"),
+    ("soy sauce", "seasoning"),
+    ("chili flakes", "seasoning"),
+    ("thyme", "seasoning"),
+    ("rosemary", "seasoning"),
+    ("water", "liquid"),
+    ("chicken broth", "liquid"),
+    ("vegetable broth", "liquid"),
+    ("white wine", "liquid"),
+    ("lemon juice", "liquid"),
+    ("tomato sauce", "liquid"),
+    ("vinegar", "liquid"),
+    ("lemon", "fruit"),
+    ("lime", "fruit"),
+    ("cherry tomato", "fruit"),
+]
 LIQUID_NAMES = ("cream", "milk", "heavy cream", "soy sauce")
 PUBLISHED_TOP = ("flour", "butter", "cream", "milk", "salt", "black pepper")
 #: How names of a derived vocabulary are classified.
@@ -42,26 +129,18 @@ SEASONING_KEYS = (
 )
 ALLIUM_PARTS = ("onion", "garlic", "shallot", "scallion", "leek")
 
-CATEGORIES = tuple(INGREDIENTS)
-
 
 def operation_rows() -> list[tuple]:
     """(op_type, grp, requires_heat, requires_liquid_input, min_inputs, max_inputs, template)"""
-    rows = []
-    for group, (heat, least, names) in OPERATION_GROUPS.items():
-        for entry in names.split(", "):
-            name, most = entry.split()
-            rows.append((name, group, heat, name in IN_LIQUID, least, int(most), name + " {inputs}"))
-    return rows
+    return [(name, group, OPERATION_GROUPS[group][0], name in IN_LIQUID, OPERATION_GROUPS[group][1], most, name + " {inputs}") for name, group, most in OPERATIONS]
 
 
 def ingredient_rows() -> list[tuple]:
     """(vocab_key, name, category, is_protein, is_liquid, in_published_top16)"""
     rows = []
-    for category, names in INGREDIENTS.items():
-        for name in names.split(", "):
-            liquid = category in ("fat", "liquid") or name in LIQUID_NAMES
-            rows.append((name.replace(" ", "_"), name, category, category == "protein", liquid, name in PUBLISHED_TOP))
+    for name, category in INGREDIENTS:
+        liquid = category in ("fat", "liquid") or name in LIQUID_NAMES
+        rows.append((name.replace(" ", "_"), name, category, category == "protein", liquid, name in PUBLISHED_TOP))
     return rows
 
 

@@ -2,43 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from potflow.operators.graphs import by_recipe
+from potflow.operators.graphs import indexed
 from potflow.operators.vocabulary import ingredient_rows, operation_rows
 from potflow.sources.tables import table
 
 _OUT = "rid % 97 != 0"
 
 
-def graphs(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(recipes, nodes, edges) in the long form of operators.graphs. Positions in the vocabularies come from literal
-    arrays, so there is one shuffle, by order."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("rid"), F.row_number().over(order).alias("pos"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"),
-        F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.col("l_quantity").cast("int").alias("q"),
-    )
+def graphs(spark, sf_dir: str) -> DataFrame:
+    """The derived graphs in the nested form of operators.graphs. An order's lines come together in one shuffle; its nodes
+    and edges are made from them in the row, with positions in the vocabularies from literal arrays."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("int").alias("q"))
+    together = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").groupBy(F.col("l_orderkey").alias("rid"))
+    orders = together.agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), "l_extendedprice", "q"))).alias("ls"))
     text = lambda rows: ", ".join("struct(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in rows)
-    found = lines.withColumn("ing", F.expr(f"array({text([r[1:5] for r in ingredient_rows()])})")).withColumn("ops", F.expr(f"array({text([r[:2] for r in operation_rows()])})"))
-    ingredient = lambda prefix, seq, at: f"named_struct('node_id', concat('{prefix}', pos), 'pos', cast(3 * pos + {seq} AS int), 'node_type', 'ingredient', 'name', ing[cast({at} AS int)].col1, 'category', ing[cast({at} AS int)].col2, 'is_protein', ing[cast({at} AS int)].col3, 'is_liquid', ing[cast({at} AS int)].col4, 'op_type', string(null), 'grp', string(null), 'params', string(null))"
-    step = "named_struct('node_id', concat('o', pos), 'pos', cast(3 * pos + 2 AS int), 'node_type', 'operation', 'name', string(null), 'category', string(null), 'is_protein', false, 'is_liquid', false, 'op_type', ops[cast((sk + 3 * pos) % 32 AS int)].col1, 'grp', ops[cast((sk + 3 * pos) % 32 AS int)].col2, 'params', string(null))"
-    output = lambda name, seq: f"named_struct('node_id', '{name}', 'pos', {seq}, 'node_type', 'dish_output', 'name', string(null), 'category', string(null), 'is_protein', false, 'is_liquid', false, 'op_type', string(null), 'grp', string(null), 'params', string(null))"
-    own = f"array_compact(array({ingredient('i', 0, 'pk % 60')}, CASE WHEN q % 3 != 0 THEN {ingredient('j', 1, '(pk + 7 * sk) % 60')} END, {step}, CASE WHEN pos = 1 AND {_OUT} THEN {output('out', 1000)} END, CASE WHEN pos = 1 AND rid % 89 = 0 THEN {output('out2', 1001)} END))"
-    edge = lambda src, dst, seq: f"named_struct('src', {src}, 'dst', {dst}, 'edge_seq', cast({seq} AS int))"
-    links = f"""array_compact(array(
-      CASE WHEN q != 13 THEN {edge("concat('i', pos)", "concat('o', pos)", '3 * pos')} END,
-      CASE WHEN q % 3 != 0 THEN {edge("concat('j', pos)", "concat('o', pos)", '3 * pos + 1')} END,
-      CASE WHEN pos < n AND q % 19 != 0 THEN {edge("concat('o', pos)", "concat('o', pos + 1)", '3 * pos + 2')} END,
-      CASE WHEN pos = n AND {_OUT} THEN {edge("concat('o', n)", "'out'", '1000')} END,
-      CASE WHEN pos = n AND rid % 101 = 0 THEN {edge("concat('o', n)", "'o1'", '1001')} END,
-      CASE WHEN pos = 1 AND rid % 83 = 0 AND {_OUT} THEN {edge("'out'", "'o1'", '1002')} END))"""
-    rid = F.col("rid").cast("string").alias("recipe_id")
-    nodes = found.select(rid, F.explode(F.expr(own)).alias("x")).select("recipe_id", "x.*")
-    edges = lines.select(rid, F.explode(F.expr(links)).alias("x")).select("recipe_id", "x.*")
-    recipes = lines.where("pos = 1").select(rid, F.concat(F.lit("Dish "), F.col("rid")).alias("dish_name"), F.expr("array('pasta', 'eggs', 'salad', 'stir_fry', 'soup')[cast(rid % 5 AS int)]").alias("category"))
-    return tuple(by_recipe(x) for x in (recipes, nodes, edges))
+    ingredients, operations = f"array({text([r[1:5] for r in ingredient_rows()])})", f"array({text([r[:2] for r in operation_rows()])})"
+
+    def node(name: str, pos: str, kind: str, ingredient: str | None = None, operation: str | None = None) -> str:
+        of = lambda struct, k, kind: f"{struct}.col{k}" if struct else "false" if kind == "boolean" else f"cast(NULL AS {kind})"
+        fields = [("name", 1, "string"), ("category", 2, "string"), ("is_protein", 3, "boolean"), ("is_liquid", 4, "boolean")]
+        own = ", ".join([*(f"'{f}', {of(ingredient, k, t)}" for f, k, t in fields), f"'op_type', {of(operation, 1, 'string')}", f"'grp', {of(operation, 2, 'string')}", "'params', cast(NULL AS string)"])
+        return f"named_struct('pos', cast({pos} AS int), 'node_id', {name}, 'node_type', '{kind}', {own})"
+
+    at = lambda array, place: f"{array}[cast({place} AS int)]"
+    edge = lambda src, dst, seq: f"named_struct('edge_seq', cast({seq} AS int), 'src', {src}, 'dst', {dst})"
+    nodes = f"""concat(
+      flatten(transform(ls, (l, k) -> array_compact(array(
+        {node("concat('i', k + 1)", "3 * (k + 1)", "ingredient", at(ingredients, "l.pk % 60"))},
+        CASE WHEN l.q % 3 != 0 THEN {node("concat('j', k + 1)", "3 * (k + 1) + 1", "ingredient", at(ingredients, "(l.pk + 7 * l.sk) % 60"))} END,
+        {node("concat('o', k + 1)", "3 * (k + 1) + 2", "operation", None, at(operations, "(l.sk + 3 * (k + 1)) % 32"))})))),
+      array_compact(array(CASE WHEN {_OUT} THEN {node("'out'", "1000", "dish_output")} END, CASE WHEN rid % 89 = 0 THEN {node("'out2'", "1001", "dish_output")} END)))"""
+    last = "concat('o', size(ls))"
+    edges = f"""concat(
+      flatten(transform(ls, (l, k) -> array_compact(array(
+        CASE WHEN l.q != 13 THEN {edge("concat('i', k + 1)", "concat('o', k + 1)", "3 * (k + 1)")} END,
+        CASE WHEN l.q % 3 != 0 THEN {edge("concat('j', k + 1)", "concat('o', k + 1)", "3 * (k + 1) + 1")} END,
+        CASE WHEN k + 1 < size(ls) AND l.q % 19 != 0 THEN {edge("concat('o', k + 1)", "concat('o', k + 2)", "3 * (k + 1) + 2")} END)))),
+      array_compact(array(CASE WHEN {_OUT} THEN {edge(last, "'out'", "1000")} END, CASE WHEN rid % 101 = 0 THEN {edge(last, "'o1'", "1001")} END,
+        CASE WHEN rid % 83 = 0 AND {_OUT} THEN {edge("'out'", "'o1'", "1002")} END)))"""
+    recipes = orders.select(
+        F.col("rid").cast("string").alias("recipe_id"), F.concat(F.lit("Dish "), "rid").alias("dish_name"),
+        F.expr("array('pasta', 'eggs', 'salad', 'stir_fry', 'soup')[cast(rid % 5 AS int)]").alias("category"), F.expr(nodes).alias("nodes"), F.expr(edges).alias("pairs"),
+    )
+    return indexed(recipes)
 
 
 SQL = """WITH RECURSIVE

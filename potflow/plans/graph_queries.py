@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from potflow.operators import graphs, rules, vocabulary
+from potflow.operators import graphs, long_rules, rules, vocabulary
 from potflow.operators.graphs import LABEL, long_form
 from potflow.operators.rules import table_verdicts
 from potflow.plans import derived
@@ -48,12 +48,9 @@ def violation_counts(verdicts: DataFrame) -> DataFrame:
 
 def level_rows(graph_rows: DataFrame) -> DataFrame:
     """Length of the longest way to each node that isn't on or behind a cycle."""
-    rows = graph_rows.withColumn("topo", F.expr(graphs.ORDER))
-    levels = """CASE WHEN size(topo) = 0 THEN cast(array() AS array<struct<i: int, level: int>>) ELSE aggregate(sequence(0, size(topo) - 1), struct(cast(array() AS array<int>) AS ls, topo AS t, edges AS e),
-      (a, k) -> struct(concat(a.ls, array(coalesce(array_max(transform(filter(a.e, e -> e.d = a.t[k]), e -> a.ls[cast(array_position(a.t, e.s) - 1 AS int)] + 1)), 0))) AS ls, a.t AS t, a.e AS e),
-      a -> transform(a.t, (i, k) -> struct(i AS i, a.ls[k] AS level))) END"""
-    rows = graphs.exploded(rows.withColumn("levels", F.expr(levels)).select("recipe_id", "ids", "levels"), "levels", "x")
-    return rows.select("recipe_id", F.expr("ids[x.i]").alias("node_id"), "x.level")
+    rows = graphs.with_order(graph_rows).select("recipe_id", "ids", F.arrays_zip("topo", "levels").alias("x"))
+    rows = graphs.exploded(rows, "x", "y").select("recipe_id", "ids", "y.topo", "y.levels")
+    return rows.select("recipe_id", F.expr("ids[topo]").alias("node_id"), F.col("levels").alias("level"))
 
 
 def reach(column: str) -> Callable:
@@ -105,7 +102,8 @@ def report(spark, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable] = {
     "verify_verdicts": lambda s, d: table_verdicts(s, d).withColumn("n_violations", F.size("violations")).drop("violations"),
-    "violations": lambda s, d: joined(violation_rows(s, d)),
+    "violations": lambda s, d: long_rules.of_any_size(*long_form(s, d, spread=True)),
+    "violations_by_joins": lambda s, d: long_rules.violations(*long_form(s, d)),
     "topological_order": lambda s, d: graphs.topological(nested(s, d)),
     "topological_levels": levels,
     "cycles": lambda s, d: graphs.cyclic(nested(s, d)),
@@ -136,9 +134,9 @@ QUERIES: dict[str, Callable] = {
     "rewrite_groups": lambda s, d: vocabulary.rewrite_groups(vocabulary.dim_operation(s)),
     "dim_operations": lambda s, d: vocabulary.dim_operation(s),
     "dim_ingredients": lambda s, d: vocabulary.dim_ingredient(s),
-    "derived_verdicts": lambda s, d: rules.verified(graphs.nested(*derived.graphs(s, d))).withColumn("n_violations", F.size("violations")).drop("violations"),
-    "derived_violations": lambda s, d: joined(rules.violations(rules.verified(graphs.nested(*derived.graphs(s, d))))),
-    "derived_cycles": lambda s, d: graphs.cyclic(graphs.nested(*derived.graphs(s, d))),
-    "derived_levels": lambda s, d: level_rows(graphs.nested(*derived.graphs(s, d))),
-    "derived_summary": lambda s, d: violation_counts(rules.verified(graphs.nested(*derived.graphs(s, d)))),
+    "derived_verdicts": lambda s, d: rules.verified(derived.graphs(s, d)).withColumn("n_violations", F.size("violations")).drop("violations"),
+    "derived_violations": lambda s, d: joined(rules.violations(rules.verified(derived.graphs(s, d)))),
+    "derived_cycles": lambda s, d: graphs.cyclic(derived.graphs(s, d)),
+    "derived_levels": lambda s, d: level_rows(derived.graphs(s, d)),
+    "derived_summary": lambda s, d: violation_counts(rules.verified(derived.graphs(s, d))),
 } | {f"rule_{r.name}": one_rule(r.name) for r in rules.RULES}

@@ -44,30 +44,30 @@ level AS (SELECT n.recipe_id, n.node_id, 0 AS depth FROM n WHERE NOT EXISTS (SEL
   WHERE NOT EXISTS (SELECT 1 FROM stuck s WHERE s.recipe_id = ev.recipe_id AND s.node_id = ev.dst)),
 indeg AS (SELECT n.recipe_id, n.node_id, count(ev.src) AS k FROM n LEFT JOIN ev ON ev.recipe_id = n.recipe_id AND ev.dst = n.node_id GROUP BY ALL),
 v AS (
-  SELECT r.recipe_id, 0 AS rule_ord, 'dag_structure' AS rule, 'Expected 1 DISH_OUTPUT node, found ' || count(n.node_id) AS message, '' AS nodes
+  SELECT r.recipe_id, 0 AS rule_ord, 'dag_structure' AS rule, 'Expected 1 DISH_OUTPUT node, found ' || count(n.node_id) AS message, '' AS nodes, [0, 0] AS place
     FROM r LEFT JOIN n ON n.recipe_id = r.recipe_id AND n.node_type = 'dish_output' GROUP BY r.recipe_id HAVING count(n.node_id) <> 1
-  UNION ALL SELECT r.recipe_id, 0, 'dag_structure', 'RecipeDAG ''' || coalesce(r.dish_name, 'None') || ''' contains a cycle — not a valid DAG.', '' FROM r WHERE EXISTS (SELECT 1 FROM loops WHERE loops.recipe_id = r.recipe_id)
-  UNION ALL SELECT recipe_id, 0, 'dag_structure', 'DISH_OUTPUT node has outgoing edges', '' FROM n WHERE node_type = 'dish_output' AND EXISTS (SELECT 1 FROM ev WHERE ev.recipe_id = n.recipe_id AND ev.src = n.node_id)
-  UNION ALL SELECT recipe_id, 0, 'dag_structure', 'Ingredient ''' || coalesce(name, 'None') || ''' (' || node_id || ') has no outgoing edges — unused', '' FROM n
+  UNION ALL SELECT r.recipe_id, 0, 'dag_structure', 'RecipeDAG ''' || coalesce(r.dish_name, 'None') || ''' contains a cycle — not a valid DAG.', '', [1, 0] FROM r WHERE EXISTS (SELECT 1 FROM loops WHERE loops.recipe_id = r.recipe_id)
+  UNION ALL SELECT recipe_id, 0, 'dag_structure', 'DISH_OUTPUT node has outgoing edges', '', [2, pos] FROM n WHERE node_type = 'dish_output' AND EXISTS (SELECT 1 FROM ev WHERE ev.recipe_id = n.recipe_id AND ev.src = n.node_id)
+  UNION ALL SELECT recipe_id, 0, 'dag_structure', 'Ingredient ''' || coalesce(name, 'None') || ''' (' || node_id || ') has no outgoing edges — unused', '', [3, pos] FROM n
     WHERE node_type = 'ingredient' AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.recipe_id = n.recipe_id AND ev.src = n.node_id)
-  UNION ALL SELECT recipe_id, 1, 'raw_protein_before_plate', '[FDA] Protein ''' || coalesce(name, 'None') || ''' reaches the dish without passing through any heat operation', node_id
+  UNION ALL SELECT recipe_id, 1, 'raw_protein_before_plate', '[FDA] Protein ''' || coalesce(name, 'None') || ''' reaches the dish without passing through any heat operation', node_id, [pos, 0]
     FROM n JOIN back USING (recipe_id, node_id) WHERE node_type = 'ingredient' AND is_protein
-  UNION ALL SELECT ev.recipe_id, 2, 'solid_before_blend', '[DC] Solid ingredient ''' || coalesce(a.name, 'None') || ''' enters BLEND without any preparation', ev.src || ',' || ev.dst
+  UNION ALL SELECT ev.recipe_id, 2, 'solid_before_blend', '[DC] Solid ingredient ''' || coalesce(a.name, 'None') || ''' enters BLEND without any preparation', ev.src || ',' || ev.dst, [ev.edge_seq, 0]
     FROM ev JOIN n a ON a.recipe_id = ev.recipe_id AND a.node_id = ev.src JOIN n b ON b.recipe_id = ev.recipe_id AND b.node_id = ev.dst
     WHERE b.node_type = 'operation' AND b.op_type = 'blend' AND a.node_type = 'ingredient' AND NOT a.is_liquid
-  UNION ALL SELECT fwd.recipe_id, 3, 'no_heat_after_plate', '[MILK/serve] Heat operation ''' || n.op_type || ''' appears after PLATE', fwd.plate || ',' || fwd.node_id
+  UNION ALL SELECT fwd.recipe_id, 3, 'no_heat_after_plate', '[MILK/serve] Heat operation ''' || n.op_type || ''' appears after PLATE', fwd.plate || ',' || fwd.node_id, [(SELECT pos FROM n p WHERE p.recipe_id = fwd.recipe_id AND p.node_id = fwd.plate), n.pos]
     FROM fwd JOIN heat USING (recipe_id, node_id) JOIN n USING (recipe_id, node_id) WHERE n.node_type = 'operation'
-  UNION ALL SELECT recipe_id, 4, 'moist_heat_needs_liquid', '[PHYS] ''' || op_type || ''' has no liquid input — moist heat requires a liquid medium', node_id FROM n
+  UNION ALL SELECT recipe_id, 4, 'moist_heat_needs_liquid', '[PHYS] ''' || op_type || ''' has no liquid input — moist heat requires a liquid medium', node_id, [pos, 0] FROM n
     WHERE node_type = 'operation' AND op_type IN ('boil', 'simmer', 'braise', 'poach') AND NOT EXISTS (SELECT 1 FROM ev JOIN n p ON p.recipe_id = ev.recipe_id AND p.node_id = ev.src
       WHERE ev.recipe_id = n.recipe_id AND ev.dst = n.node_id AND (p.node_type = 'operation' OR p.node_type = 'ingredient' AND p.is_liquid))
-  UNION ALL SELECT recipe_id, 5, 'combine_needs_multiple_inputs', '[MILK/combine] ''' || op_type || ''' has ' || k || ' input(s); requires ≥2', node_id FROM n JOIN indeg USING (recipe_id, node_id)
+  UNION ALL SELECT recipe_id, 5, 'combine_needs_multiple_inputs', '[MILK/combine] ''' || op_type || ''' has ' || k || ' input(s); requires ≥2', node_id, [pos, 0] FROM n JOIN indeg USING (recipe_id, node_id)
     WHERE node_type = 'operation' AND op_type IN ('combine', 'mix', 'toss') AND k < 2
-  UNION ALL SELECT recipe_id, 6, 'no_dangling_outputs', '[MILK/serve] Operation ''' || coalesce(op_type, 'None') || ''' (' || node_id || ') has no successors — output is never consumed', node_id FROM n
+  UNION ALL SELECT recipe_id, 6, 'no_dangling_outputs', '[MILK/serve] Operation ''' || coalesce(op_type, 'None') || ''' (' || node_id || ') has no successors — output is never consumed', node_id, [pos, 0] FROM n
     WHERE node_type = 'operation' AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.recipe_id = n.recipe_id AND ev.src = n.node_id)
-  UNION ALL SELECT recipe_id, 7, 'season_needs_target', '[DC] SEASON has no non-seasoning input', node_id FROM n
+  UNION ALL SELECT recipe_id, 7, 'season_needs_target', '[DC] SEASON has no non-seasoning input', node_id, [pos, 0] FROM n
     WHERE node_type = 'operation' AND op_type = 'season' AND NOT EXISTS (SELECT 1 FROM ev JOIN n p ON p.recipe_id = ev.recipe_id AND p.node_id = ev.src
       WHERE ev.recipe_id = n.recipe_id AND ev.dst = n.node_id AND (p.node_type = 'operation' OR p.node_type = 'ingredient' AND coalesce(p.category <> 'seasoning', true)))),
-kept AS (SELECT v.* FROM v JOIN r USING (recipe_id)),
+kept AS (SELECT v.* EXCLUDE (place) FROM v JOIN r USING (recipe_id)),
 verdict AS (
   SELECT r.recipe_id, r.dish_name, r.category,
     CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.recipe_id = r.recipe_id AND (node_type IS NULL OR node_type = 'ingredient' AND name IS NULL OR node_type = 'operation' AND op_type IS NULL)) THEN 'dag_construction_error'
@@ -75,13 +75,34 @@ verdict AS (
     (SELECT count(*) FROM kept WHERE kept.recipe_id = r.recipe_id) AS n_violations
   FROM r)
 """
+#: The order of a queue: by level, then by the way along the last predecessors; a way is the first node's place, then the
+#: place of the edge and of the node at each step. Ways of one level are equally long, so lists compare as wanted.
+RANKED = """, depths AS (SELECT recipe_id, node_id, max(depth) AS depth FROM level GROUP BY ALL),
+spot AS (SELECT recipe_id, node_id, row_number() OVER (PARTITION BY recipe_id ORDER BY pos, node_id) AS i FROM n),
+way AS (SELECT recipe_id, node_id, depth, [i] AS way FROM depths JOIN spot USING (recipe_id, node_id) WHERE depth = 0 UNION
+  SELECT ev.recipe_id, ev.dst, t.depth, way.way || [ev.edge_seq, spot.i] FROM way JOIN ev ON ev.recipe_id = way.recipe_id AND ev.src = way.node_id
+  JOIN depths t ON t.recipe_id = ev.recipe_id AND t.node_id = ev.dst AND t.depth = way.depth + 1 JOIN spot ON spot.recipe_id = ev.recipe_id AND spot.node_id = ev.dst),
+ranked AS (SELECT recipe_id, node_id, row_number() OVER (PARTITION BY recipe_id ORDER BY depth, way) - 1 AS rank FROM (SELECT recipe_id, node_id, depth, max(way) AS way FROM way GROUP BY ALL))
+"""
+_TOLD = """string_agg('  · [' || rule || '] ' || message || ' (nodes: ' || coalesce(nullif(replace(nodes, ',', ', '), ''), '—') || ')', chr(10) ORDER BY rule_ord, place, nodes)"""
+_NAMED = "CASE {0}.node_type WHEN 'ingredient' THEN coalesce({0}.name, 'None') WHEN 'operation' THEN {0}.op_type ELSE 'DISH' END"
 GRAPHS, DERIVED = TABLES + REST, derived.SQL.format(operations=OPERATIONS, ingredients=INGREDIENTS) + REST
 _LABEL = "CASE {0}.node_type WHEN 'ingredient' THEN {0}.name WHEN 'operation' THEN {0}.op_type ELSE 'DISH' END"
 
 SQL = {
     "violations": GRAPHS + "SELECT * FROM kept",
+    "violations_by_joins": GRAPHS + "SELECT * FROM kept",
     "verify_verdicts": GRAPHS + "SELECT recipe_id, dish_name, category, failure_code, failure_code IS NULL AND n_violations = 0 AS is_valid, n_violations FROM verdict",
     "topological_levels": GRAPHS + "SELECT recipe_id, node_id, max(depth) AS level FROM level JOIN r USING (recipe_id) GROUP BY ALL",
+    "topological_order": GRAPHS + RANKED + "SELECT recipe_id, node_id, rank FROM ranked JOIN r USING (recipe_id)",
+    "graph_texts": GRAPHS + RANKED + f""", step AS (SELECT n.recipe_id, rank, n.op_type || ' ' || coalesce((SELECT string_agg({_NAMED.format("p")}, ' and ' ORDER BY edge_seq, ev.src, ev.dst) FROM ev JOIN n p ON p.recipe_id = ev.recipe_id AND p.node_id = ev.src
+    WHERE ev.recipe_id = n.recipe_id AND ev.dst = n.node_id), 'ingredients') AS t FROM n JOIN ranked USING (recipe_id, node_id) WHERE n.node_type = 'operation')
+SELECT r.recipe_id, CASE WHEN NOT EXISTS (SELECT 1 FROM stuck WHERE stuck.recipe_id = r.recipe_id) AND NOT EXISTS (SELECT 1 FROM n WHERE n.recipe_id = r.recipe_id AND node_type = 'operation' AND grp IS NULL) THEN
+  'A dish of ' || coalesce(dish_name, 'None') || '. Ingredients: ' || coalesce((SELECT string_agg(coalesce(name, 'None'), ', ' ORDER BY pos) FROM n WHERE n.recipe_id = r.recipe_id AND node_type = 'ingredient'), '') ||
+  '. Preparation: ' || coalesce((SELECT string_agg(t, '; ' ORDER BY rank) FROM step WHERE step.recipe_id = r.recipe_id), 'combine all ingredients') || '.' END AS text FROM r""",
+    "verdict_texts": GRAPHS
+    + f"""SELECT recipe_id, CASE WHEN n_violations = 0 THEN '✓ Recipe is valid (no constraint violations)' ELSE '✗ Recipe has ' || n_violations || ' violation(s):' || chr(10) ||
+  (SELECT {_TOLD} FROM v WHERE v.recipe_id = verdict.recipe_id) END AS text FROM verdict""",
     "cycles": GRAPHS + "SELECT recipe_id, count(*) AS n_stuck FROM stuck JOIN r USING (recipe_id) GROUP BY ALL",
     "degrees": GRAPHS + "SELECT n.recipe_id, n.node_id, (SELECT count(*) FROM e WHERE e.recipe_id = n.recipe_id AND e.dst = n.node_id) AS n_in, (SELECT count(*) FROM e WHERE e.recipe_id = n.recipe_id AND e.src = n.node_id) AS n_out FROM n",
     "unheated_paths": GRAPHS + "SELECT recipe_id, node_id FROM back JOIN r USING (recipe_id)",

@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable] = {
     "coverage_counters": lambda s, d: evaluation.counters(evaluation.coverage_report(s, d)),
     "category_histogram": lambda s, d: evaluation.category_histogram(parsed_table(s, d)),
     "failure_histogram": lambda s, d: evaluation.failure_histogram(parsed_table(s, d)),
+    "failure_reasons": lambda s, d: evaluation.failure_reasons(parsed_table(s, d)),
     "rule_histogram": lambda s, d: evaluation.rule_histogram(evaluation.coverage_report(s, d)),
     "recall_cases": lambda s, d: evaluation.suite_results(s),
     "recall_by_rule": lambda s, d: evaluation.recall_by_rule(evaluation.suite_results(s)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from potflow.operators import labelled
 from potflow.operators.vocabulary import CATEGORIES, DISH_CATEGORIES, GROUP_DEFAULTS, NODE_TYPES
 from potflow.plans.graph_sql import OPERATIONS, REST, values
 
@@ -58,7 +59,23 @@ _REPORT = """, fired AS (SELECT outcome.*, verdict.failure_code IS NULL AND n_vi
 """
 _PLACED = "SELECT {0}, n, row_number() OVER (ORDER BY n DESC, {0}) AS place FROM ({1})"
 _SHARE = lambda a, b: f"round(100 * CAST({a} AS DOUBLE) / nullif({b}, 0), 1)"
+_CASES = f"""WITH RECURSIVE
+op AS (SELECT * FROM {OPERATIONS}),
+labelled AS (SELECT * FROM {values(labelled.CASES, "case_name, expected_rule, dish_name, category")}),
+r AS (SELECT case_name AS recipe_id, dish_name, category FROM labelled),
+n AS (SELECT * FROM {values(labelled.node_rows(), labelled.NODE_COLUMNS)}),
+e AS (SELECT * FROM {values(labelled.edge_rows(), "recipe_id, src, dst, edge_seq")}),
+"""
+_RECALL = """, got AS (SELECT case_name, expected_rule, coalesce((SELECT string_agg(DISTINCT rule, ', ' ORDER BY rule) FROM kept WHERE recipe_id = case_name), '') AS fired,
+    EXISTS (SELECT 1 FROM kept WHERE recipe_id = case_name AND rule = expected_rule) AS hit FROM labelled),
+judged AS (SELECT *, CASE WHEN expected_rule = 'none' THEN CASE WHEN fired = '' THEN 'TN' ELSE 'FP' END WHEN hit THEN 'TP' ELSE 'FN' END AS outcome FROM got)
+"""
 SQL = {
+    "recall_cases": _CASES + REST + _RECALL + """SELECT case_name, expected_rule, fired, outcome, CASE outcome WHEN 'TN' THEN '✓ no false positive' WHEN 'FP' THEN '✗ FALSE POSITIVE: ' || fired
+  WHEN 'TP' THEN '✓ caught' ELSE '✗ MISSED (got: ' || coalesce(nullif(fired, ''), 'nothing') || ')' END AS status FROM judged""",
+    "recall_by_rule": _CASES + REST + _RECALL + "SELECT expected_rule, count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FN') AS fn FROM judged WHERE expected_rule <> 'none' GROUP BY ALL",
+    "recall_summary": _CASES + REST + _RECALL + """SELECT *, coalesce(true_positives / nullif(n_violation_cases, 0), 0.0) AS recall FROM (SELECT count(*) AS n_total, count(*) FILTER (expected_rule <> 'none') AS n_violation_cases,
+  count(*) FILTER (expected_rule = 'none') AS n_control_cases, count(*) FILTER (outcome = 'TP') AS true_positives, count(*) FILTER (outcome = 'FN') AS false_negatives, count(*) FILTER (outcome = 'FP') AS false_positives FROM judged)""",
     "parse_outcomes": RESPONSES + REST + "SELECT recipe_id, attempt, status, category, failure_code FROM outcome",
     "parsed_nodes": RESPONSES + REST + "SELECT o.recipe_id, o.attempt, n.node_id, n.node_type, n.name, n.category, n.is_protein, n.is_liquid, n.op_type, n.grp FROM n JOIN outcome o ON o.rid = n.recipe_id",
     "parsed_edges": RESPONSES + REST + "SELECT o.recipe_id, o.attempt, e.edge_seq, e.src, e.dst FROM e JOIN outcome o ON o.rid = e.recipe_id",

@@ -20,12 +20,12 @@ def key(column: str | Column) -> Column:
 def current(layer1: DataFrame) -> DataFrame:
     """One row per recipe: the latest by loaded_at, its id trimmed and in lower case.
 
-    Rows without id are left out. Equal loaded_at (exact copies) are settled by a hash of the row, so the result
-    doesn't depend on the partitioning. The rank filter lets Spark drop old versions before the shuffle, so an id
-    with very many versions costs one row per map task.
+    Rows without id are left out. Equal loaded_at (exact copies) are settled by a hash of the columns given, so the result
+    doesn't depend on the partitioning; who needs few columns selects them before, and the others aren't read. The rank
+    filter lets Spark drop old versions before the shuffle, so an id with very many versions costs one row per map task.
     """
     rows = layer1.where(F.col("id").isNotNull()).withColumn("id", key("id"))
-    content = F.xxhash64("title", "ingredients", "instructions", F.coalesce(F.col("removed_at").cast("string"), F.lit("")))
+    content = F.xxhash64(*(F.coalesce(F.to_json(F.struct(c)), F.lit("")) if t.startswith(("map", "variant")) else F.col(c) for c, t in rows.dtypes))
     latest = Window.partitionBy("id").orderBy(F.desc("loaded_at"), F.desc(content))
     return rows.withColumn("_rank", F.row_number().over(latest)).where("_rank = 1").drop("_rank")
 
@@ -37,26 +37,34 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where the session names none."""
+    """The folder all executors share, from spark.checkpoint.dir. A session that names none must be told one."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
-
-    folder = f"file://{tempfile.gettempdir()}/potflow-shared"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read back. Cuts the lineage; lost executors cost no recomputation.
 
-    The files are removed when the driver's JVM ends.
+    The files are removed when the driver's JVM ends, or by ``dropped``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/potflow-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, path = _files(spark, path)
+    files.deleteOnExit(path)
+    table = spark.read.schema(df.schema).parquet(path.toString())
+    table.written_to = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` gave and no plan needs any more; others, also those made from such, stay."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            _files(df.sparkSession, path.toString())[0].delete(path, True)
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path

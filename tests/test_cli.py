@@ -24,7 +24,11 @@ def test_coverage_of_a_corpus(spark, tmp_path):
     responses = spark.createDataFrame([(p.h, raw.get(p.id)) for p in prompts], "prompt_hash string, raw string")
     report = coverage(spark, str(tmp_path / "c.json"), responses, 10, "test")
     assert {r.recipe_id: r.failure_code or r.status for r in report.collect()} == {"r0": "success", "r1": "json_parse_error", "r2": "out_of_scope", "r3": "api_error"}
+    assert {r.recipe_id: r.title for r in report.collect()} == {f"r{i}": f"t{i}" for i in range(4)}
     counts = evaluation.counters(report).first()
+    document = json.loads(evaluation.summary(report).first().document)
+    assert document["n_attempted"] == 4 and document["categories"] == {"soup": 1} and document["violation_counts"] == {} and document["pct_failed"] == 50.0
+    assert document["failure_reasons"]["api_error"] == 1 and len(document["failure_reasons"]) == 2 and any(k.startswith("json_parse_error: ") for k in document["failure_reasons"])
     assert (counts.n_attempted, counts.n_valid, counts.pct_failed) == (4, 1, 50.0)
 
 

@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from potflow.operators.graphs import long_form
 from potflow.operators.vocabulary import dim_ingredient, dim_operation, vocabulary_block
 from potflow.sources import json_io, replay
-from potflow.sources.tables import current, written
+from potflow.sources.tables import current, dropped, written
 from potflow.streaming import verify
 
 
@@ -36,19 +36,41 @@ def test_current_rows(spark, layer1):
 def test_json_round_trip(spark, sf):
     r, n, e = long_form(spark, sf)
     recipes, nodes, edges, errors = json_io.graphs_from_json(json_io.graphs_to_json(r, n, e))
-    assert errors.count() == 0 and {tuple(x) for x in recipes.collect()} == {tuple(x) for x in r.collect()}
-    want = {(x.recipe_id, x.node_id, x.name, x.op_type) for x in n.join(r, "recipe_id", "left_semi").collect()}
+    broken = {x.recipe_id for x in errors.collect()}
+    assert 0 < len(broken) < 20 and {tuple(x) for x in recipes.collect()} == {tuple(x) for x in r.collect() if x.recipe_id not in broken}
+    want = {(x.recipe_id, x.node_id, x.name, x.op_type) for x in n.join(r, "recipe_id", "left_semi").collect() if x.recipe_id not in broken}
     assert {(x.recipe_id, x.node_id, x.ingredient.name if x.ingredient else None, x.operation.op_type if x.operation else None) for x in nodes.collect()} == want
     text = json.loads(json_io.graphs_to_json(r, n, e).where("recipe_id IS NOT NULL").first().json)
     assert list(text) == ["dish_name", "category", "nodes", "edges"]
-    bad = spark.createDataFrame([("a", "{"), ("b", "[]"), ("c", '{"nodes": []}'), ("d", None)], "recipe_id string, json string")
-    assert {x.recipe_id for x in json_io.graphs_from_json(bad)[3].collect()} == {"a", "b", "c", "d"}
+    lines = json_io.graphs_to_json(r, n, e, indent=True).where("json IS NOT NULL").first().json
+    assert "\n" in lines and list(json.loads(lines))[:2] == ["dish_name", "category"]
+
+
+def test_json_that_gives_no_graph(spark):
+    whole = {"dish_name": "d", "category": "soup", "nodes": [{"node_id": "a", "node_type": "ingredient", "ingredient": {"name": "x", "category": "grain"}}, {"node_id": "o", "node_type": "dish_output"}], "edges": [["a", "o"]]}
+    node = lambda **x: whole | {"nodes": [{"node_id": "a", "node_type": "operation", "operation": {"op_type": "stir", "params": {"k": [1, {"z": None}]}}} | x]}
+    cases = {
+        "cut": "{", "list": "[]", "null": None, "absent": '{"nodes": []}', "category": whole | {"category": "cake"}, "nodes": whole | {"nodes": "x"}, "no id": whole | {"nodes": [{"node_type": "dish_output"}]},
+        "type": node(node_type="thing"), "payload": node(operation=None), "op": node(operation={"op_type": "juggle"}), "kind": whole | {"nodes": [{"node_id": "a", "node_type": "ingredient", "ingredient": {"name": "x", "category": "stone"}}]},
+        "edge": whole | {"edges": [["a"]]}, "good": whole, "params": node(), "twice": whole | {"nodes": [*whole["nodes"], {"node_id": "a", "node_type": "dish_output"}]},
+    }
+    rows = spark.createDataFrame([(k, v if v is None or isinstance(v, str) else json.dumps(v)) for k, v in cases.items()], "recipe_id string, json string")
+    recipes, nodes, edges, errors = json_io.graphs_from_json(rows)
+    assert {x.recipe_id for x in recipes.collect()} == {"good", "params", "twice"}
+    found = {x.recipe_id: (x.failure_code, x.failure_detail) for x in errors.collect()}
+    assert len(found) == len(cases) - 3 and {k for k, (code, _) in found.items() if code == "json_parse_error"} == {"cut", "list", "null"}
+    assert found["absent"][1] == "lacks dish_name, category, edges" and found["category"][1] == "category cake" and found["op"][1] == "unknown op_type"
+    read = nodes.collect()
+    assert json.loads(next(x.operation.params for x in read if x.recipe_id == "params")) == {"k": [1, {"z": None}]}
+    assert [(x.node_seq, x.node_id, x.node_type) for x in read if x.recipe_id == "twice"] == [(0, "a", "dish_output"), (1, "o", "dish_output")] and edges.count() == 3
 
 
 def test_replay_and_client(spark):
     prompts = spark.createDataFrame([("r1", "p1"), ("r2", "p1"), ("r3", "p3")], "recipe_id string, prompt_hash string")
     recorded = spark.createDataFrame([("p1", "b"), ("p1", "a"), ("p2", "c"), ("p3", None)], "prompt_hash string, raw string")
-    assert {(r.recipe_id, r.raw) for r in replay.replayed(prompts, recorded).collect()} == {("r1", "a"), ("r2", "a"), ("r3", None)}
+    assert {(r.recipe_id, r.raw) for r in replay.replayed(prompts, recorded).collect()} == {("r1", "b"), ("r2", "b"), ("r3", None)}
+    times = spark.createDataFrame([("p1", "z", "2024-01-01", 1), ("p1", "a", "2024-01-02", 1), ("p1", "b", "2024-01-02", 2), ("p1", "c", None, 9)], "prompt_hash string, raw string, received_at string, attempt int")
+    assert {r.raw for r in replay.replayed(prompts.limit(2), times).collect()} == {"b"}
     waits, calls = [], []
 
     def flaky(prompt):
@@ -68,6 +90,36 @@ def test_replay_and_client(spark):
     assert {(r.recipe_id, r.raw) for r in rows.collect()} == {("a", "X"), ("b", None), ("c", None)}
 
 
+def test_chat_client(monkeypatch):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            body = json.dumps({"choices": [{"message": {"content": "answer"}}]}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    monkeypatch.delenv("SOME_KEY", raising=False)
+    with pytest.raises(ValueError):
+        replay.chat_client("http://x", "m", "SOME_KEY")
+    monkeypatch.setenv("SOME_KEY", "k")
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    call = replay.chat_client(f"http://127.0.0.1:{server.server_port}/chat", "m", "SOME_KEY")("system")
+    assert call("question") == "answer"
+    server.shutdown()
+    assert seen[0][0] == "Bearer k" and seen[0][1]["model"] == "m" and seen[0][1]["temperature"] == 0.0 and [m["role"] for m in seen[0][1]["messages"]] == ["system", "user"]
+
+
 def test_prompts(spark):
     block = vocabulary_block(dim_ingredient(spark), dim_operation(spark)).first().block
     assert block.split("\n")[1] == "  ALLIUM: garlic, onion, scallion, shallot" and block.endswith("ALLOWED CATEGORIES: pasta, eggs, salad, stir_fry, soup")
@@ -96,3 +148,22 @@ def test_streams(spark, sf, tmp_path):
 def test_written_tables_live_in_the_shared_folder(spark):
     df = written(spark.range(5), "x")
     assert df.count() == 5 and spark.conf.get("spark.checkpoint.dir") in df.inputFiles()[0]
+
+
+def test_dropped_removes_only_what_was_written(spark, tmp_path):
+    a = written(spark.range(5), "x")
+    derived = a.where("id > 1")
+    dropped(derived)
+    assert a.count() == 5
+    dropped(a)
+    assert not os.path.exists(a.written_to.toUri().getPath())
+
+
+def test_no_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from potflow.sources.tables import shared_dir
+
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf={}))
+    assert shared_dir(SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs:///x"})) == "hdfs:///x"
