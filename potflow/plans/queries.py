@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
     return {
         "p2_found": nested.p2_found,
         "p2_objects": nested.p2_objects,
+        "p2_records": nested.p2_records,
         "p4_found": references.p4_found,
         "p4_report": references.p4_report,
         "p5_found": units.p5_found,
