@@ -352,3 +352,35 @@ def p2_objects(spark, sf_dir: str) -> DataFrame:
 def p2_records(spark, sf_dir: str) -> DataFrame:
     """Each response with whether it could be taken apart."""
     return flatten_responses(table(spark, sf_dir, "responses"))["records"]
+
+
+_READ = r"""WITH RECURSIVE asked AS (SELECT *, row_number() OVER () AS n FROM (SELECT DISTINCT lower(trim(recipe_id, ' ')) AS rid, attempt, trim(raw, E' \t\r\n') AS t FROM responses WHERE recipe_id IS NOT NULL)),
+unwrapped AS (SELECT n, t, 0 AS k FROM asked UNION ALL
+  SELECT n, trim(TRY_CAST(t AS JSON) ->> '$', E' \t\r\n'), k + 1 FROM unwrapped WHERE k < 8 AND json_type(TRY_CAST(t AS JSON)) = 'VARCHAR'),
+bare AS (SELECT n, arg_max(t, k) AS t FROM unwrapped GROUP BY n),
+found AS (SELECT n, t, regexp_extract(t, '(?s)\{\s*["}].*\}') AS o, regexp_extract(t, '(?s)"\{.*\}"') AS s FROM bare),
+whole AS (SELECT n, CASE WHEN TRY_CAST(t AS JSON) IS NOT NULL THEN CASE json_type(TRY_CAST(t AS JSON)) WHEN 'OBJECT' THEN TRY_CAST(t AS JSON) END
+  WHEN o <> '' THEN TRY_CAST(o AS JSON) ELSE TRY_CAST((TRY_CAST(s AS JSON) ->> '$') AS JSON) END AS j FROM found),
+listed AS (SELECT n, CASE WHEN json_type(j, '$.nodes') = 'VARCHAR' THEN TRY_CAST((j ->> '$.nodes') AS JSON) ELSE j -> '$.nodes' END AS nodes FROM whole WHERE j IS NOT NULL)
+"""
+_WALK = r""", elements AS (SELECT n, unnest(range(len(l))) AS seq, unnest(l) AS node FROM (SELECT n, from_json(nodes, '["JSON"]') AS l FROM listed WHERE json_type(nodes) = 'ARRAY')),
+opened AS (SELECT n, seq, CASE WHEN json_type(node) = 'VARCHAR' THEN TRY_CAST((node ->> '$') AS JSON) ELSE node END AS node FROM elements),
+parts AS (SELECT n, seq, node, CASE WHEN json_type(node, '$.operation') = 'VARCHAR' THEN TRY_CAST((node ->> '$.operation') AS JSON) ELSE node -> '$.operation' END AS op FROM opened WHERE json_type(node) = 'OBJECT'),
+walk AS (
+  SELECT n, seq, 'ingredient' AS path, node -> '$.ingredient' AS v FROM parts UNION ALL
+  SELECT n, seq, 'params', op -> '$.params' FROM parts UNION ALL
+  SELECT n, seq, path || e.step, e.v FROM (SELECT n, seq, path, unnest(CASE json_type(v)
+      WHEN 'OBJECT' THEN [{'step': '/' || x.key, 'v': x.value} FOR x IN map_entries(CAST(v AS MAP(VARCHAR, JSON)))]
+      WHEN 'ARRAY' THEN [{'step': '/' || (i - 1), 'v': x} FOR x, i IN from_json(v, '["JSON"]')]
+      WHEN 'VARCHAR' THEN CASE WHEN json_type(TRY_CAST((v ->> '$') AS JSON)) IN ('OBJECT', 'ARRAY') THEN [{'step': '', 'v': TRY_CAST((v ->> '$') AS JSON)}] END END) AS e FROM walk)),
+leaf AS (SELECT DISTINCT n, seq, path FROM walk WHERE json_type(v) NOT IN ('NULL', 'OBJECT', 'ARRAY') AND NOT (json_type(v) = 'VARCHAR' AND coalesce(json_type(TRY_CAST((v ->> '$') AS JSON)) IN ('OBJECT', 'ARRAY'), false)))
+"""
+SQL = {
+    "p2_found": _READ + _WALK + r"""SELECT 'layer1' AS src_table, id AS record_key, 0 AS attempt, i - 1 AS child_seq, path FROM (
+  SELECT id, path, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x FROM (SELECT id, unnest(['ingredients', 'instructions']) AS path, unnest([ingredients, instructions]) AS l FROM (
+    SELECT lower(trim(id, ' ')) AS id, ingredients, instructions FROM layer1 WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(trim(id, ' ')) ORDER BY loaded_at DESC) = 1))) WHERE x.text IS NOT NULL
+UNION ALL SELECT DISTINCT 'responses', rid, attempt, seq, path FROM leaf JOIN asked USING (n)""",
+    "p2_records": _READ + """SELECT DISTINCT rid AS recipe_id, attempt,
+  CASE WHEN asked.t IS NULL THEN 'no_text' WHEN j IS NULL THEN 'unusable' WHEN json_type(nodes) = 'ARRAY' THEN 'usable' ELSE 'no_nodes' END AS status
+FROM asked LEFT JOIN whole USING (n) LEFT JOIN listed USING (n)""",
+}

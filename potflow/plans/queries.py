@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return references.SQL | graph_sql.SQL | response_sql.SQL | corpus_queries.SQL
+    return nested.SQL | references.SQL | graph_sql.SQL | response_sql.SQL | corpus_queries.SQL
