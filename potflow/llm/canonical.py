@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from potflow.functions.text import fold
+from potflow.llm.shipping import Shipped
 from potflow.sources.tables import current, key, table, written
 
 #: Greatest number of edits besides slips between like characters, and characters of the beginning they are looked for in.
@@ -345,10 +346,10 @@ def by_dictionary(rests: DataFrame, dictionary: Dictionary) -> DataFrame:
 
     counted = rests.select("_rest", "n").mapInArrow(count, "canon_id int, n long").groupBy("canon_id").agg(F.sum("n").alias("n"))
     dictionary.frequency = {r["canon_id"]: r["n"] for r in counted.collect()}  # one row per entry of the list
-    shared = spark.sparkContext.broadcast(dictionary)
+    shared = Shipped(spark, dictionary)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dictionary = shared.value
+        dictionary = shared.load()
         for batch in batches:
             rows = [(r, *hit) for r in batch.column(0).to_pylist() if (hit := dictionary.best(r.split(" ")))]
             yield _found(rows)

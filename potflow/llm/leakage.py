@@ -3,11 +3,12 @@
 A passage is a window of ``window`` consecutive words of an item; it leaks into a document that holds it with at most
 ``errors`` word edits. Items are cut into pieces so short that a leaked window, whatever its place, holds errors + 1
 whole pieces; by the pigeonhole principle one of them is untouched, so every leak shows as an exact piece hit. Hits are
-verified with Myers' bit-parallel edit distance over words.
+verified with Myers' bit-parallel edit distance over words. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from potflow.functions.text import plain, words
+from potflow.functions.text import plain
+from potflow.llm.hashing import WordHashes
+from potflow.llm.shipping import Shipped
 from potflow.sources.tables import spread, table
 
-#: Items that are looked for in one pass over the documents; more items make more passes.
-ITEMS = 20_000
+#: Items, and characters of items, that are looked for in one pass over the documents; more make more passes.
+ITEMS, CHARACTERS = 20_000, 16_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,69 +49,84 @@ def myers(masks: dict[int, int], length: int, text: list[int]) -> int:
     return best
 
 
-def piece_keys(ids: np.ndarray, p: int) -> np.ndarray:
-    """A key for each run of p word ids."""
-    key = np.zeros(max(0, len(ids) - p + 1), np.uint64)
+def piece_keys(words: np.ndarray, p: int) -> np.ndarray:
+    """A key for each run of p words."""
+    key = np.zeros(max(0, len(words) - p + 1), np.uint64)
     for k in range(p):
-        key = (key ^ ids[k : k + len(key)]) * _FACTOR
+        key = (key ^ words[k : k + len(key)]) * _FACTOR
         key ^= key >> np.uint64(32)
     return key
 
 
 class Pieces:
-    """The pieces of items as a dictionary of keys."""
+    """The pieces of items under their keys. Equal windows of different items are one window."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, errors: int):
+    def __init__(self, items: list[tuple[int, str]], window: int, errors: int, hashes: WordHashes | None = None):
         self.window, self.errors, self.p = window, errors, piece_length(window, errors)
-        self.ids: dict[str, int] = {}
-        self.items, keys, places = [], [], []
-        for item, text in items:
-            ids = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words(plain(text or ""))], np.uint64)
-            if len(ids) >= window:
-                starts = np.arange(0, len(ids) - self.p + 1, self.p)
-                keys.append(piece_keys(ids, self.p)[starts])
-                places.append(np.column_stack([np.full(len(starts), len(self.items)), starts]))
-                self.items.append((item, ids.tolist()))
+        self.hashes = hashes or WordHashes()
+        items = [(item, plain(text or "")) for item, text in items]
+        words, starts = self.hashes.of([text for _, text in items])
+        self.items, self.number, keys, places = [], {}, [], []
+        self.masks: list[dict[int, int]] = []
+        for (item, _), first, end in zip(items, starts[:-1], starts[1:]):
+            own = words[first:end]
+            if len(own) >= window:
+                at = np.arange(0, len(own) - self.p + 1, self.p)
+                keys.append(piece_keys(own, self.p)[at])
+                places.append(np.column_stack([np.full(len(at), len(self.items)), at]))
+                ids = own.tolist()
+                self.items.append((item, [self._window(tuple(ids[k : k + window])) for k in range(len(ids) - window + 1)]))
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.places = keys[order], (np.concatenate(places)[order] if places else np.zeros((0, 2), np.int64))
-        self.masks: dict[tuple[int, int], dict[int, int]] = {}
-
-    def window_masks(self, item: int, start: int) -> dict[int, int]:
-        if (item, start) not in self.masks:
+        self.bits = max(16, int(32 * len(keys)).bit_length())
+        self.sieve = np.zeros(1 << self.bits, bool)
+        self.sieve[(self.keys >> np.uint64(64 - self.bits)).astype(np.intp)] = True
+
+    def _window(self, words: tuple[int, ...]) -> int:
+        """The number of a window's words."""
+        if words not in self.number:
+            self.number[words] = len(self.masks)
             masks: dict[int, int] = {}
-            for i, w in enumerate(self.items[item][1][start : start + self.window]):
+            for i, w in enumerate(words):
                 masks[w] = masks.get(w, 0) | 1 << i
-            self.masks[item, start] = masks
-        return self.masks[item, start]
-
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(place in ids, item, place in the item) of each piece found."""
-        found = piece_keys(ids, self.p)
-        low = np.searchsorted(self.keys, found)
-        at = np.flatnonzero((low < len(self.keys)) & (self.keys[np.minimum(low, len(self.keys) - 1)] == found)) if len(self.keys) else ()
-        for d in at:
-            k = low[d]
-            while k < len(self.keys) and self.keys[k] == found[d]:
-                yield int(d), *map(int, self.places[k])
-                k += 1
-
-    def leaks(self, doc: list[int], hits: list[tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
-        """item -> (least distance, number of its windows found with at most ``errors`` edits)."""
+            self.masks.append(masks)
+        return self.number[words]
+
+    def hits(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(texts with a piece, in order; places in words where they are). starts: where each text's words start. Most keys
+        fall through a sieve with a bit for each piece; the others are looked up."""
+        found = piece_keys(words, self.p)
+        at = np.flatnonzero(self.sieve[(found >> np.uint64(64 - self.bits)).astype(np.intp)])
+        low = np.searchsorted(self.keys, found[at])
+        at = at[(low < len(self.keys)) & (self.keys[np.minimum(low, max(0, len(self.keys) - 1))] == found[at])] if len(self.keys) else at[:0]
+        owner = np.searchsorted(starts, at, "right") - 1
+        whole = at + self.p <= starts[owner + 1]
+        return owner[whole], at[whole]
+
+    def leaks(self, doc: np.ndarray, places: np.ndarray) -> dict[int, tuple[int, int]]:
+        """item -> (least distance, number of its windows found with at most ``errors`` edits), for a text's words and the
+        places of pieces in it. A window is verified once at a place, however many items have it."""
+        words, keys = doc.tolist(), piece_keys(doc, self.p)[places]
+        low, high = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
         out: dict[int, dict[int, int]] = {}
+        far: dict[tuple[int, int], int] = {}
         done = set()
-        for d, item, i in hits:
-            ids = self.items[item][1]
-            shift = d - i
-            for start in range(max(0, i + self.p - self.window), min(i, len(ids) - self.window) + 1):
-                if (item, shift, start) in done:
-                    continue
-                done.add((item, shift, start))
-                text = doc[max(0, start + shift - self.errors) : max(0, start + shift + self.window + self.errors)]
-                distance = myers(self.window_masks(item, start), self.window, text)
-                if distance <= self.errors:
-                    best = out.setdefault(item, {})
-                    best[start] = min(distance, best.get(start, distance))
+        for d, a, b in zip(places.tolist(), low.tolist(), high.tolist()):
+            for item, i in self.places[a:b].tolist():
+                numbers, shift = self.items[item][1], d - i
+                for start in range(max(0, i + self.p - self.window), min(i, len(numbers) - 1) + 1):
+                    if (item, shift, start) in done:
+                        continue
+                    done.add((item, shift, start))
+                    at = start + shift
+                    distance = far.get((numbers[start], at))
+                    if distance is None:
+                        text = words[max(0, at - self.errors) : max(0, at + self.window + self.errors)]
+                        distance = far[numbers[start], at] = myers(self.masks[numbers[start]], self.window, text)
+                    if distance <= self.errors:
+                        best = out.setdefault(item, {})
+                        best[start] = min(distance, best.get(start, distance))
         return {item: (min(ws.values()), len(ws)) for item, ws in out.items()}
 
 
@@ -120,35 +138,36 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = 13, errors: int
 
     One row for each document row and item with a leaked window; distance is its least number of edits, 0 if the
     window stands there word for word; n_windows counts the item's windows that leak. Null and empty texts and items
-    shorter than a window give nothing. Items are broadcast ITEMS at a time.
+    shorter than a window give nothing. Items are broadcast in blocks of ITEMS items and CHARACTERS characters, about.
     """
     spark = documents.sparkSession
     items = items.select("item_id", "text").where("text IS NOT NULL")
-    passes = -(-items.count() // ITEMS)
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    passes = max(-(-n // ITEMS), -(-size // CHARACTERS))
     docs = spread(documents.where("text IS NOT NULL").select("doc_id", "text"))
+    hashes = WordHashes()
 
     def one(block: DataFrame) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Pieces([tuple(r) for r in block.toLocalIterator()], window, errors))
+        shared = Shipped(spark, Pieces([tuple(r) for r in block.toLocalIterator()], window, errors, hashes))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pieces = shared.value
-            get = pieces.ids.get
+            pieces = shared.load()
+            known: dict[bytes, dict[int, tuple[int, int]]] = {}
             for batch in batches:
-                docs, starts, ids = batch.column(0).to_pylist(), [0], []
-                for text in batch.column(1).to_pylist():
-                    ids += [get(w, 0) for w in words(plain(text))]
-                    ids.append(0)
-                    starts.append(len(ids))
-                of: dict[int, list] = {}
-                owner = np.array(starts)
-                for d, item, i in pieces.hits(np.array(ids, np.uint64)):
-                    k = int(np.searchsorted(owner, d, "right")) - 1
-                    of.setdefault(k, []).append((d - starts[k], item, i))
-                rows = [
-                    (docs[k], pieces.items[item][0], distance, n)
-                    for k, hits in of.items()
-                    for item, (distance, n) in pieces.leaks(ids[starts[k] : starts[k + 1] - 1], hits).items()
-                ]
+                docs = batch.column(0).to_pylist()
+                words, starts = pieces.hashes.of([plain(text) for text in batch.column(1).to_pylist()])
+                owner, at = pieces.hits(words, starts)
+                rows = []
+                cuts = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    k = owner[a]
+                    doc = words[starts[k] : starts[k + 1]]
+                    copy = hashlib.blake2b(doc.tobytes(), digest_size=16).digest()
+                    if copy not in known:
+                        if len(known) > 50_000:
+                            known.clear()
+                        known[copy] = pieces.leaks(doc, at[a:b] - starts[k])
+                    rows += [(docs[k], pieces.items[item][0], distance, n) for item, (distance, n) in known[copy].items()]
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)], names=["doc_id", "item_id", "distance", "n_windows"])
 
