@@ -8,7 +8,6 @@ verified with Myers' bit-parallel edit distance over words. Words are compared b
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,6 +23,8 @@ from potflow.sources.tables import spread, table
 
 #: Items, and characters of items, that are looked for in one pass over the documents; more make more passes.
 ITEMS, CHARACTERS = 20_000, 16_000_000
+#: Windows that are verified at once.
+TOGETHER = 200_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,41 +59,60 @@ def piece_keys(words: np.ndarray, p: int) -> np.ndarray:
     return key
 
 
+def myers_all(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """myers for each row of patterns (at most 63 symbols) in the same row of texts, all rows at once."""
+    n, length = patterns.shape
+    full, top, one = np.uint64((1 << length) - 1), np.uint64(length - 1), np.uint64(1)
+    up, down = np.full(n, full), np.zeros(n, np.uint64)
+    score = np.full(n, length, np.int64)
+    best = score.copy()
+    for symbol in texts.T:
+        eq = np.zeros(n, np.uint64)
+        for i in range(length):
+            eq |= (patterns[:, i] == symbol).astype(np.uint64) << np.uint64(i)
+        across = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | (~(across | up) & full), up & across
+        score += ((plus >> top) & one).astype(np.int64) - ((minus >> top) & one).astype(np.int64)
+        plus, minus = (plus << one) & full, (minus << one) & full
+        eq |= down
+        up, down = minus | (~(eq | plus) & full), plus & eq
+        np.minimum(best, score, out=best)
+    return best
+
+
+def stretched(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, number in it) for all numbers of ranges."""
+    n = np.maximum(ends - starts, 0)
+    who = np.repeat(np.arange(len(n)), n)
+    return who, np.arange(len(who)) - (np.cumsum(n) - n)[who] + starts[who]
+
+
 class Pieces:
     """The pieces of items under their keys. Equal windows of different items are one window."""
 
     def __init__(self, items: list[tuple[int, str]], window: int, errors: int, hashes: WordHashes | None = None):
         self.window, self.errors, self.p = window, errors, piece_length(window, errors)
         self.hashes = hashes or WordHashes()
-        items = [(item, plain(text or "")) for item, text in items]
-        words, starts = self.hashes.of([text for _, text in items])
-        self.items, self.number, keys, places = [], {}, [], []
-        self.masks: list[dict[int, int]] = []
-        for (item, _), first, end in zip(items, starts[:-1], starts[1:]):
-            own = words[first:end]
-            if len(own) >= window:
-                at = np.arange(0, len(own) - self.p + 1, self.p)
-                keys.append(piece_keys(own, self.p)[at])
-                places.append(np.column_stack([np.full(len(at), len(self.items)), at]))
-                ids = own.tolist()
-                self.items.append((item, [self._window(tuple(ids[k : k + window])) for k in range(len(ids) - window + 1)]))
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        words, starts = self.hashes.of([plain(text or "") for _, text in items])
+        lengths = np.diff(starts)
+        long = np.flatnonzero(lengths >= window)
+        self.ids = np.array([items[k][0] for k in long], np.int64)
+        #: Where the windows of each item begin among all, and the number of each: equal ones have the same.
+        self.first = np.concatenate([[0], np.cumsum(lengths[long] - window + 1)])
+        who, at = stretched(starts[long], starts[long] + lengths[long] - window + 1)
+        every = words[at[:, None] + np.arange(window)] if len(at) else np.zeros((0, window), np.uint64)
+        self.windows, self.number = np.unique(every, axis=0, return_inverse=True)
+        self.number = self.number.ravel()
+        who, at = stretched(starts[long], starts[long] + lengths[long] - self.p + 1)
+        inside = at - starts[long][who]
+        own = inside % self.p == 0
+        keys = piece_keys(words, self.p)[at[own]] if len(at) else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.places = keys[order], (np.concatenate(places)[order] if places else np.zeros((0, 2), np.int64))
+        self.keys, self.item, self.place = keys[order], who[own][order], inside[own][order]
         self.bits = max(16, int(32 * len(keys)).bit_length())
         self.sieve = np.zeros(1 << self.bits, bool)
         self.sieve[(self.keys >> np.uint64(64 - self.bits)).astype(np.intp)] = True
 
-    def _window(self, words: tuple[int, ...]) -> int:
-        """The number of a window's words."""
-        if words not in self.number:
-            self.number[words] = len(self.masks)
-            masks: dict[int, int] = {}
-            for i, w in enumerate(words):
-                masks[w] = masks.get(w, 0) | 1 << i
-            self.masks.append(masks)
-        return self.number[words]
-
     def hits(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(texts with a piece, in order; places in words where they are). starts: where each text's words start. Most keys
         fall through a sieve with a bit for each piece; the others are looked up."""
@@ -104,30 +124,61 @@ class Pieces:
         whole = at + self.p <= starts[owner + 1]
         return owner[whole], at[whole]
 
-    def leaks(self, doc: np.ndarray, places: np.ndarray) -> dict[int, tuple[int, int]]:
-        """item -> (least distance, number of its windows found with at most ``errors`` edits), for a text's words and the
-        places of pieces in it. A window is verified once at a place, however many items have it."""
-        words, keys = doc.tolist(), piece_keys(doc, self.p)[places]
+    def leaks(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item_id, least distance, number of windows with at most ``errors`` edits) of the texts that leak."""
+        owner, at = self.hits(words, starts)
+        keys = piece_keys(words, self.p)[at] if len(at) else np.zeros(0, np.uint64)
         low, high = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
-        out: dict[int, dict[int, int]] = {}
-        far: dict[tuple[int, int], int] = {}
-        done = set()
-        for d, a, b in zip(places.tolist(), low.tolist(), high.tolist()):
-            for item, i in self.places[a:b].tolist():
-                numbers, shift = self.items[item][1], d - i
-                for start in range(max(0, i + self.p - self.window), min(i, len(numbers) - 1) + 1):
-                    if (item, shift, start) in done:
-                        continue
-                    done.add((item, shift, start))
-                    at = start + shift
-                    distance = far.get((numbers[start], at))
-                    if distance is None:
-                        text = words[max(0, at - self.errors) : max(0, at + self.window + self.errors)]
-                        distance = far[numbers[start], at] = myers(self.masks[numbers[start]], self.window, text)
-                    if distance <= self.errors:
-                        best = out.setdefault(item, {})
-                        best[start] = min(distance, best.get(start, distance))
-        return {item: (min(ws.values()), len(ws)) for item, ws in out.items()}
+        work = np.cumsum((high - low) * self.window)
+        texts = np.flatnonzero(np.diff(owner, prepend=-1))  # whole texts are taken together, of about TOGETHER windows
+        cuts = [0, *(int(texts[k]) for k in np.flatnonzero(np.diff(work[texts] // TOGETHER, prepend=-1)) if texts[k]), len(at)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                yield self._verified(words, starts, owner[a:b], at[a:b], low[a:b], high[a:b])
+
+    def _verified(self, words, starts, owner, at, low, high) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        hit, k = stretched(low, high)
+        item, place = self.item[k], self.place[k]
+        last = self.first[item + 1] - self.first[item] - 1
+        which, start = stretched(np.maximum(0, place + self.p - self.window), np.minimum(place, last) + 1)
+        text, item = owner[hit][which], item[which]
+        where = at[hit][which] - place[which] + start  # where the window would stand if nothing were inserted before
+        number = self.number[self.first[item] + start]
+        # a window is verified once at a place, however many pieces and items lead to it
+        once, back = np.unique(np.column_stack([where, number, text]), axis=0, return_inverse=True)
+        distance = self._distances(words, starts, once)[back.ravel()]
+        near = distance <= self.errors
+        rows = np.column_stack([text[near], item[near], start[near], distance[near]])
+        rows = rows[np.lexsort(rows.T[::-1])]
+        rows = rows[np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(1))[: len(rows)]]  # the least distance of each window
+        ends = np.flatnonzero(np.append((rows[1:, :2] != rows[:-1, :2]).any(1), True)[: len(rows)])
+        begins = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
+        least = np.minimum.reduceat(rows[:, 3], begins) if len(begins) else rows[:, 3]
+        return rows[begins, 0], self.ids[rows[begins, 1]], least, ends - begins + 1
+
+    def _distances(self, words: np.ndarray, starts: np.ndarray, once: np.ndarray) -> np.ndarray:
+        """The distances of windows at places: rows of once are (place, number of the window, text)."""
+        out = np.zeros(len(once), np.int64)
+        reach = np.arange(-self.errors, self.window + self.errors)
+        for a in range(0, len(once), TOGETHER):
+            where, number, text = once[a : a + TOGETHER].T
+            at = where[:, None] + reach
+            inside = (at >= starts[text][:, None]) & (at < starts[text + 1][:, None])
+            around, own = words[np.clip(at, 0, len(words) - 1)], self.windows[number]
+            if self.window < 64:
+                out[a : a + TOGETHER] = myers_all(own, np.where(inside, around, _absent(own)[:, None]))
+                continue
+            for i, (pattern, symbols, there) in enumerate(zip(own.tolist(), around.tolist(), inside.tolist())):
+                masks: dict[int, int] = {}
+                for k, w in enumerate(pattern):
+                    masks[w] = masks.get(w, 0) | 1 << k
+                out[a + i] = myers(masks, self.window, [w for w, ok in zip(symbols, there) if ok])
+        return out
+
+
+def _absent(patterns: np.ndarray) -> np.ndarray:
+    """For each row a symbol that isn't in it."""
+    return patterns.max(1, initial=0) + np.uint64(1)
 
 
 LEAKS = "doc_id long, item_id long, distance int, n_windows int"
@@ -152,24 +203,11 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = 13, errors: int
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces = shared.load()
-            known: dict[bytes, dict[int, tuple[int, int]]] = {}
             for batch in batches:
-                docs = batch.column(0).to_pylist()
                 words, starts = pieces.hashes.of([plain(text) for text in batch.column(1).to_pylist()])
-                owner, at = pieces.hits(words, starts)
-                rows = []
-                cuts = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    k = owner[a]
-                    doc = words[starts[k] : starts[k + 1]]
-                    copy = hashlib.blake2b(doc.tobytes(), digest_size=16).digest()
-                    if copy not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        known[copy] = pieces.leaks(doc, at[a:b] - starts[k])
-                    rows += [(docs[k], pieces.items[item][0], distance, n) for item, (distance, n) in known[copy].items()]
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)], names=["doc_id", "item_id", "distance", "n_windows"])
+                for text, item, distance, n in pieces.leaks(words, starts):
+                    columns = [batch.column(0).take(pa.array(text)), pa.array(item), pa.array(distance.astype(np.int32)), pa.array(n.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "distance", "n_windows"])
 
         return docs.mapInArrow(search, LEAKS)
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from potflow.llm import leakage
@@ -23,6 +24,10 @@ def test_myers_equals_dynamic_programming():
         for i, p in enumerate(pattern):
             masks[p] = masks.get(p, 0) | 1 << i
         assert leakage.myers(masks, len(pattern), text) == edit_distance_in(pattern, text)
+    for length, room in ((1, 3), (13, 15), (63, 70)):
+        patterns, texts = ([[rng.randint(1, 4) for _ in range(k)] for _ in range(60)] for k in (length, room))
+        got = leakage.myers_all(np.array(patterns, np.uint64), np.array(texts, np.uint64)).tolist()
+        assert got == [edit_distance_in(p, t) for p, t in zip(patterns, texts)]
 
 
 @pytest.mark.parametrize("window", [5, 13, 20])
@@ -38,7 +43,9 @@ def documents(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, distance string")
 
 
-def test_leaks_equal_brute_force(spark):
+@pytest.mark.parametrize("together", [200_000, 7])
+def test_leaks_equal_brute_force(spark, monkeypatch, together):
+    monkeypatch.setattr(leakage, "TOGETHER", together)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([9, 13, 14, 40])))) for i in range(25)]
@@ -86,3 +93,23 @@ def test_items_in_several_passes(spark, monkeypatch):
     docs = documents(spark, [(i, text, "x") for i, text in items])
     got = {(r.doc_id, r.item_id) for r in leakage.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(i, i) for i in range(7)}
+
+
+def test_windows_longer_than_a_word_of_bits(spark):
+    item = " ".join(f"w{i}" for i in range(100))
+    changed = item.replace("w50 ", "other ")
+    docs = documents(spark, [(1, "x " + item, "x"), (2, changed + " y", "x"), (3, item[:200], "x")])
+    got = {(r.doc_id, r.distance) for r in leakage.leaks(docs, spark.createDataFrame([(5, item)], "item_id long, text string"), 90, 1).collect()}
+    assert got == {(1, 0), (2, 1)}
+
+
+def test_an_opening_that_all_items_and_documents_share(spark):
+    """Every document holds a piece of every item: equal windows are verified once, and the work stays small."""
+    import time
+
+    opening = "answer this question with care and give all of the steps that lead"
+    items = [(i, f"{opening} to number {i} at once") for i in range(300)]
+    docs = documents(spark, [(d, f"{opening} {'to number 7 at' if d % 100 == 0 else 'away'} x{d}", "x") for d in range(2_000)])
+    began = time.time()
+    found = leakage.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), errors=0)
+    assert found.count() == 2_000 * 300 and found.where("item_id = 7 AND doc_id = 100 AND n_windows = 5").count() == 1 and time.time() - began < 60
