@@ -10,6 +10,7 @@ import regex
 
 #: Characters that are dropped before anything else (zero width space and joiner, soft hyphen, byte order mark).
 DROPPED = dict.fromkeys(map(ord, "\u200b\u200d\u00ad\ufeff"))
+_DROPPED = "".join(map(chr, DROPPED))
 _ASCII_TERM, _TERM = re.compile(r"[a-z]+"), regex.compile(r"\p{L}+")
 _ASCII_WORD, _WORD = re.compile(r"[a-z0-9]+"), regex.compile(r"[\p{L}\p{Nd}]+")
 _TAG = re.compile(r"<!--.*?-->|<[/!?]?[A-Za-z][^<>]*>", re.S)
@@ -19,7 +20,10 @@ def fold(text: str) -> str:
     """Without invisible characters, NFKC, lower case."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFKC", text.translate(DROPPED)).lower()
+    for c in _DROPPED:
+        if c in text:
+            text = text.replace(c, "")
+    return unicodedata.normalize("NFKC", text).lower()
 
 
 def terms(text: str) -> list[str]:
