@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from potflow.llm import abuse, canonical, leakage, packing, signature_tree, term_counts
+from potflow.llm import abuse, canonical, leakage, packing, signature_tree, sql, term_counts
 
 
 def queries() -> dict[str, Callable]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.SQL

@@ -6,8 +6,8 @@ prefix leaves the stack, all suffixes below it have been seen, so its counts are
 
 Sets of records are kept as sums: while a record is read, each suffix carries, for each prefix length, 1 if the record
 shows this prefix for the first time. These marks add up to the number of records, so suffixes can be combined before
-the shuffle and no list of records travels. A first term as frequent as "the" is spread by its second term; the
-one-term prefixes of its parts are added in a last small aggregation.
+the shuffle and no list of records travels. A first term with very many suffixes is spread by its second term, into parts
+by their number; the one-term prefixes of its parts are added in a last small aggregation.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from potflow.functions.text import terms
-from potflow.sources.tables import current, table
+from potflow.sources.tables import current, table, written
 
-#: Parts a frequent first term is spread over, and distinct suffixes a task combines before it hands them on.
-SPREAD, COMBINED = 16, 300_000
+#: Combined suffixes of a first term that one task gets, about, and distinct suffixes a task combines before it hands them on.
+SPREAD, COMBINED = 50_000, 300_000
 
 
 def suffixes(records: DataFrame, length: int) -> DataFrame:
@@ -124,8 +124,12 @@ def ngram_counts(records: DataFrame, length: int) -> DataFrame:
         if ready:
             yield out(ready)
 
-    routed = suffixes(records, length).withColumn("_part", F.pmod(F.xxhash64("second"), F.lit(SPREAD)))
-    routed = routed.repartition("first", "_part").sortWithinPartitions(F.desc("suffix"))
+    routed = suffixes(records, length).withColumn("_part", F.lit(0))
+    if length > 1:  # a term alone is one suffix a task; what follows it can be anything
+        routed = written(routed.drop("_part"), "suffixes")
+        spread = routed.groupBy("first").count().where(F.col("count") > SPREAD).select("first", F.ceil(F.col("count") / SPREAD).alias("parts"))
+        routed = routed.join(spread, "first", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("second"), "parts"), F.lit(0)))
+    routed = routed.select("suffix", "first", "seen", "_part").repartition("first", "_part").sortWithinPartitions(F.desc("suffix"))
     parts = routed.select("suffix", "seen").mapInArrow(aggregate, "term string, n_terms int, n_occurrences long, n_records long")
     return parts.groupBy("term", "n_terms").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
 
@@ -134,7 +138,7 @@ def recipe_texts(layer1: DataFrame) -> DataFrame:
     """Current recipes as records: all texts of ingredients and instructions."""
     none = F.array().cast("array<string>")
     texts = F.concat(F.coalesce(F.col("ingredients.text"), none), F.coalesce(F.col("instructions.text"), none))
-    return current(layer1).select("id", texts.alias("texts"))
+    return current(layer1.select("id", "ingredients", "instructions", "loaded_at")).select("id", texts.alias("texts"))
 
 
 def marked(counts: DataFrame, n_records, rare: int = 2, common: float = 0.35) -> DataFrame:
@@ -151,8 +155,8 @@ def recipe_terms(spark, sf_dir: str, length: int = 2) -> DataFrame:
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
-    """Terms that are too rare or too common, from the one-term prefixes of the suffix counts."""
-    return recipe_terms(spark, sf_dir).where("n_terms = 1 AND mark IS NOT NULL").select("term", "mark")
+    """Terms that are too rare or too common, from suffixes cut to one term."""
+    return recipe_terms(spark, sf_dir, 1).where("mark IS NOT NULL").select("term", "mark")
 
 
 def p1_terms(spark, sf_dir: str) -> DataFrame:
