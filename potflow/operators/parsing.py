@@ -59,7 +59,7 @@ def _text(value) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def _operation(operation, category: str) -> str:
+def _operation(operation) -> str:
     """The operation that a payload names, directly or by its group's name."""
     if not isinstance(operation, dict):
         raise Unusable("dag_construction_error", "operation is no object")
@@ -85,7 +85,7 @@ def _ingredient(ingredient, vocabulary: dict) -> dict:
     return {"name": ingredient["name"], "category": category} | {f: bool(ingredient.get(f, False)) for f in ("is_protein", "is_liquid")}
 
 
-def _node(node: dict, vocabulary: dict, category: str) -> dict:
+def _node(node: dict, vocabulary: dict) -> dict:
     """A node row. Payloads of another type than the node's are checked as well but not needed."""
     for needed in ("node_type", "node_id"):
         if needed not in node:
@@ -99,7 +99,7 @@ def _node(node: dict, vocabulary: dict, category: str) -> dict:
     if kind == "ingredient":
         row |= _ingredient(node["ingredient"], vocabulary)
     if kind == "operation":
-        row["op_type"] = _operation(node["operation"], category)
+        row["op_type"] = _operation(node["operation"])
         row["grp"] = GROUP_OF[row["op_type"]]
         row["params"] = json.dumps(node["operation"].get("params", {}), ensure_ascii=False)
     return row
@@ -133,7 +133,7 @@ def parsed(raw: str | None, vocabulary: dict) -> Parsed:
         nodes = nodes if isinstance(nodes, list) else []
         for node in nodes:
             if isinstance(node, dict) and node.get("node_type") == "operation" and isinstance(node.get("operation"), dict) and isinstance(node["operation"].get("op_type", ""), str):
-                _operation(node["operation"], category)
+                _operation(node["operation"])
         for needed in ("dish_name", "nodes", "edges"):
             if needed not in data:
                 raise Unusable("dag_construction_error", repr(needed))
@@ -141,7 +141,7 @@ def parsed(raw: str | None, vocabulary: dict) -> Parsed:
             raise Unusable("dag_construction_error", "nodes or edges are no list of objects")
         places: dict[str, dict] = {}
         for node in nodes:
-            row = _node(node, vocabulary, category)
+            row = _node(node, vocabulary)
             row["pos"] = places[row["node_id"]]["pos"] if row["node_id"] in places else len(places)
             places[row["node_id"]] = row
         edges = [_pair(e) for e in data["edges"]]
@@ -150,27 +150,57 @@ def parsed(raw: str | None, vocabulary: dict) -> Parsed:
     return Parsed("success", category, None, None, _text(data["dish_name"]), list(places.values()), edges)
 
 
-def parse(responses: DataFrame, ingredients: DataFrame) -> DataFrame:
+def ingredient_keys(raw: str | None) -> list[str]:
+    """The vocabulary keys that a response's ingredients ask for."""
+    try:
+        data = json.loads(unfenced(raw or ""))
+    except (ValueError, RecursionError):
+        return []
+    nodes = data.get("nodes") if isinstance(data, dict) else None
+    found = (node.get("ingredient") for node in nodes if isinstance(node, dict)) if isinstance(nodes, list) else ()
+    return sorted({i["name"].lower().replace(" ", "_") for i in found if isinstance(i, dict) and isinstance(i.get("name"), str)})
+
+
+def with_entries(responses: DataFrame, ingredients: DataFrame) -> DataFrame:
+    """responses with ``entries``, the vocabulary's entries that each asks for, by a join: for a vocabulary of any size."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r, k) for r, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k in ingredient_keys(raw)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [()] * 2)], names=["response_id", "vocab_key"])
+
+    asked = responses.select("response_id", "raw").mapInArrow(keys, "response_id string, vocab_key string").distinct()
+    found = asked.join(ingredients, "vocab_key").groupBy("response_id").agg(F.collect_list(F.struct("vocab_key", "name", "category", "is_protein", "is_liquid")).alias("entries"))
+    return responses.join(found, "response_id", "left")
+
+
+def parse(responses: DataFrame, ingredients: DataFrame, broadcast: int = VOCABULARY) -> DataFrame:
     """responses(response_id, recipe_id, attempt, raw), ingredients(vocab_key, name, category, is_protein, is_liquid) -> PARSED_DDL.
 
-    One row per response row. The vocabulary is broadcast; one beyond VOCABULARY names is refused.
+    One row per response row. A vocabulary of up to ``broadcast`` names is broadcast; of a larger one each response gets the
+    entries it asks for by a join.
     """
-    rows = ingredients.select("vocab_key", "name", "category", "is_protein", "is_liquid").limit(VOCABULARY + 1).collect()
-    if len(rows) > VOCABULARY:
-        raise ValueError(f"the vocabulary has over {VOCABULARY} names")
-    shared = responses.sparkSession.sparkContext.broadcast({r[0]: tuple(r[1:]) for r in rows})
+    columns = ("vocab_key", "name", "category", "is_protein", "is_liquid")
+    rows = ingredients.select(*columns).limit(broadcast + 1).collect()
+    small = len(rows) <= broadcast
+    shared = responses.sparkSession.sparkContext.broadcast({r[0]: tuple(r[1:]) for r in rows} if small else {})
+    responses = responses.select("response_id", "recipe_id", F.col("attempt").cast("int"), "raw")
+    if not small:
+        responses = with_entries(responses, ingredients.select(*columns)).select("response_id", "recipe_id", "attempt", "raw", "entries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes_type, pairs_type = pa.list_(pa.struct(NODE_FIELDS)), pa.list_(pa.struct([("edge_seq", pa.int32()), ("src", pa.string()), ("dst", pa.string())]))
         for batch in batches:
-            found = [parsed(raw, shared.value) for raw in batch.column(3).to_pylist()]
+            raws = batch.column(3).to_pylist()
+            own = [{e["vocab_key"]: tuple(e[c] for c in columns[1:]) for e in es or ()} for es in batch.column(4).to_pylist()] if batch.num_columns > 4 else [shared.value] * len(raws)
+            found = [parsed(raw, vocabulary) for raw, vocabulary in zip(raws, own)]
             pairs = [[{"edge_seq": k, "src": s, "dst": d} for k, (s, d) in enumerate(p.edges)] if p.status == "success" else None for p in found]
             text = [pa.array([getattr(p, c) for p in found], pa.string()) for c in ("status", "category", "code", "detail", "dish_name")]
             nodes = pa.array([p.nodes if p.status == "success" else None for p in found], nodes_type)
             names = [c for c in ("response_id", "recipe_id", "attempt", "status", "category", "failure_code", "failure_detail", "dish_name", "nodes", "pairs")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *text, nodes, pa.array(pairs, pairs_type)], names=names)
 
-    return responses.select("response_id", "recipe_id", F.col("attempt").cast("int"), "raw").mapInArrow(run, PARSED_DDL)
+    return responses.mapInArrow(run, PARSED_DDL)
 
 
 def distinct_responses(raw: DataFrame) -> DataFrame:

@@ -27,26 +27,29 @@ REFERENCES = [
 PARENTS = [("layer1", ["id"]), ("recipes", ["recipe_id"]), ("nodes", ["recipe_id", "node_id"])]
 
 
-def joined_key(parts: list[str]) -> Column:
-    """The key, parts joined by a slash; null if a part is null or blank."""
-    whole = F.concat_ws("/", *map(key, parts))
-    return F.when(reduce(lambda a, b: a & b, (F.col(p).isNotNull() & (key(p) != "") for p in parts)), whole)
+def whole_key(parts: list[Column]) -> Column:
+    """The parts of a key as they are compared; null if a part is null or blank."""
+    parts = [key(p) for p in parts]
+    return F.when(reduce(lambda a, b: a & b, (p.isNotNull() & (p != "") for p in parts)), F.array(*parts))
 
 
 def long_form(spark, sf_dir: str) -> DataFrame:
-    """(parent, ref_key, and of children: src_table, ref_column, period, earliest, latest, n_rows, n_undated;
-    of parents: first_at, removed_at), one row per parent key and per child key, column and month."""
+    """(parent, k array<string>, and of children: src_table, ref_column, period, earliest, latest, n_rows; of parents:
+    first_at, removed_at, exists), one row per parent key and per child key, column and month. k has the parts of the key.
+    A table whose columns refer to one parent is read once for all of them."""
     children = []
-    for name, column, parts, time, parent in REFERENCES:
-        rows = table(spark, sf_dir, name).select(joined_key(parts).alias("ref_key"), F.col(time).alias("t")).where("ref_key IS NOT NULL")
-        rows = rows.withColumn("period", F.coalesce(F.date_format("t", "yyyy-MM"), F.lit("none"))).groupBy("ref_key", "period")
+    for name in dict.fromkeys(r[0] for r in REFERENCES):
+        own = [r for r in REFERENCES if r[0] == name]
+        each = F.explode(F.array(*(F.struct(F.lit(column).alias("ref_column"), whole_key([F.col(p) for p in parts]).alias("k")) for _, column, parts, _, _ in own))).alias("r")
+        rows = table(spark, sf_dir, name).select(F.col(own[0][3]).alias("t"), each).select("t", "r.*").where("k IS NOT NULL")
+        rows = rows.withColumn("period", F.coalesce(F.date_format("t", "yyyy-MM"), F.lit("none"))).groupBy("k", "ref_column", "period")
         sums = rows.agg(F.min("t").alias("earliest"), F.max("t").alias("latest"), F.count("*").alias("n_rows"))
-        children.append(sums.withColumns({"parent": F.lit(parent), "src_table": F.lit(name), "ref_column": F.lit(column)}))
+        children.append(sums.withColumns({"parent": F.lit(own[0][4]), "src_table": F.lit(name)}))
     parents = []
     for name, parts in PARENTS:
         rows = table(spark, sf_dir, name)
         removed = F.max_by("removed_at", F.struct("loaded_at", "removed_at")) if name == "layer1" else F.lit(None).cast("timestamp_ntz")
-        rows = rows.withColumn("ref_key", joined_key(parts)).where("ref_key IS NOT NULL").groupBy("ref_key")
+        rows = rows.withColumn("k", whole_key([F.col(p) for p in parts])).where("k IS NOT NULL").groupBy("k")
         parents.append(rows.agg(F.min("loaded_at").alias("first_at"), removed.alias("removed_at"), F.lit(True).alias("exists")).withColumn("parent", F.lit(name)))
     union = lambda a, b: a.unionByName(b)
     return reduce(union, children).unionByName(reduce(union, parents), allowMissingColumns=True)
@@ -58,9 +61,9 @@ def broken_references(spark, sf_dir: str) -> DataFrame:
     n_rows counts the referring rows of the key and month. A group holds at most one row per column and month and one
     parent row. Undated references can only be missing.
     """
-    group = Window.partitionBy("parent", "ref_key")
+    group = Window.partitionBy("parent", "k")
     parent = {c: F.max(c).over(group).alias(c) for c in ("first_at", "removed_at", "exists")}
-    rows = long_form(spark, sf_dir).select("src_table", "ref_column", "ref_key", "period", "earliest", "latest", "n_rows", *parent.values()).where("src_table IS NOT NULL")
+    rows = long_form(spark, sf_dir).select("src_table", "ref_column", F.concat_ws("/", "k").alias("ref_key"), "period", "earliest", "latest", "n_rows", *parent.values()).where("src_table IS NOT NULL")
     deleted = F.col("removed_at") <= F.col("latest")
     late = (F.col("earliest") < F.col("first_at")) & (F.col("removed_at").isNull() | (F.col("earliest") < F.col("removed_at")))
     kinds = F.when(F.col("exists").isNull(), F.array(F.lit("missing"))).otherwise(F.array_compact(F.array(F.when(deleted, "deleted"), F.when(late, "late"))))
@@ -68,8 +71,8 @@ def broken_references(spark, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
-    """Each broken reference with its month and kind."""
-    return broken_references(spark, sf_dir).select("src_table", "ref_column", "ref_key", "period", "kind")
+    """Each broken reference with its month and kind. Keys with slashes in their parts may read alike; they give one row."""
+    return broken_references(spark, sf_dir).select("src_table", "ref_column", "ref_key", "period", "kind").distinct()
 
 
 def p4_report(spark, sf_dir: str) -> DataFrame:
@@ -78,7 +81,7 @@ def p4_report(spark, sf_dir: str) -> DataFrame:
 
 
 def _child_sql(name: str, column: str, parts: list[str], time: str, parent: str) -> str:
-    whole = " || '/' || ".join(f"lower(trim({p}, ' '))" for p in parts)
+    whole = "[" + ", ".join(f"lower(trim({p}, ' '))" for p in parts) + "]"
     there = " AND ".join(f"trim({p}, ' ') <> ''" for p in parts)
     return f"SELECT '{parent}' AS parent, '{name}' AS src_table, '{column}' AS ref_column, {whole} AS ref_key, {time} AS t FROM {name} WHERE {there}"
 
@@ -86,12 +89,12 @@ def _child_sql(name: str, column: str, parts: list[str], time: str, parent: str)
 _CASES = f"""
 WITH child AS ({" UNION ALL ".join(_child_sql(*r) for r in REFERENCES)}),
 owner AS (
-  SELECT 'layer1' AS parent, lower(trim(id, ' ')) AS ref_key, min(loaded_at) AS first_at, NULL AS removed_at FROM layer1 WHERE trim(id, ' ') <> '' GROUP BY ALL
-  UNION ALL SELECT 'recipes', lower(trim(recipe_id, ' ')), min(loaded_at), NULL FROM recipes WHERE trim(recipe_id, ' ') <> '' GROUP BY ALL
-  UNION ALL SELECT 'nodes', lower(trim(recipe_id, ' ')) || '/' || lower(trim(node_id, ' ')), min(loaded_at), NULL FROM nodes
+  SELECT 'layer1' AS parent, [lower(trim(id, ' '))] AS ref_key, min(loaded_at) AS first_at, NULL AS removed_at FROM layer1 WHERE trim(id, ' ') <> '' GROUP BY ALL
+  UNION ALL SELECT 'recipes', [lower(trim(recipe_id, ' '))], min(loaded_at), NULL FROM recipes WHERE trim(recipe_id, ' ') <> '' GROUP BY ALL
+  UNION ALL SELECT 'nodes', [lower(trim(recipe_id, ' ')), lower(trim(node_id, ' '))], min(loaded_at), NULL FROM nodes
     WHERE trim(recipe_id, ' ') <> '' AND trim(node_id, ' ') <> '' GROUP BY ALL),
 now AS (
-  SELECT lower(trim(id, ' ')) AS ref_key, removed_at FROM layer1 WHERE trim(id, ' ') <> ''
+  SELECT [lower(trim(id, ' '))] AS ref_key, removed_at FROM layer1 WHERE trim(id, ' ') <> ''
   QUALIFY row_number() OVER (PARTITION BY lower(trim(id, ' ')) ORDER BY loaded_at DESC, removed_at DESC NULLS LAST) = 1),
 judged AS (
   SELECT c.src_table, c.ref_column, c.ref_key, coalesce(strftime(c.t, '%Y-%m'), 'none') AS period,
@@ -102,7 +105,7 @@ judged AS (
   LEFT JOIN now n ON c.parent = 'layer1' AND n.ref_key = c.ref_key)
 """
 SQL = {
-    "p4_found": _CASES + "SELECT DISTINCT src_table, ref_column, ref_key, period, kind FROM judged WHERE kind IS NOT NULL",
+    "p4_found": _CASES + "SELECT DISTINCT src_table, ref_column, array_to_string(ref_key, '/') AS ref_key, period, kind FROM judged WHERE kind IS NOT NULL",
     "p4_report": _CASES
     + """, rows_of AS (SELECT src_table, ref_column, ref_key, coalesce(strftime(t, '%Y-%m'), 'none') AS period, count(*) AS n FROM child GROUP BY ALL)
 SELECT k.src_table, k.ref_column, k.period, k.kind, count(*) AS n_keys, CAST(sum(r.n) AS BIGINT) AS n_rows

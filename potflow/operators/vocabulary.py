@@ -187,8 +187,9 @@ def classified(names: DataFrame) -> DataFrame:
 
 
 def looked_up(keys: DataFrame, ingredients: DataFrame) -> DataFrame:
-    """keys(vocab_key) with the vocabulary's entry, or a vegetable named after the key."""
-    joined = keys.join(F.broadcast(ingredients.select("vocab_key", "name", "category", "is_protein", "is_liquid")), "vocab_key", "left")
+    """keys(vocab_key) with the vocabulary's entry, or a vegetable named after the key. Spark broadcasts a vocabulary that is
+    small enough."""
+    joined = keys.join(ingredients.select("vocab_key", "name", "category", "is_protein", "is_liquid"), "vocab_key", "left")
     return joined.select(
         "vocab_key", F.coalesce("name", F.replace("vocab_key", F.lit("_"), F.lit(" "))).alias("name"), F.coalesce("category", F.lit("vegetable")).alias("category"),
         F.coalesce("is_protein", F.lit(False)).alias("is_protein"), F.coalesce("is_liquid", F.lit(False)).alias("is_liquid"),

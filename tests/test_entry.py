@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from potflow.plans import queries as core
 
 #: Needs the session; the others take long on a cold start and are held against SQL by the driver.
-HELD = ["derived_summary", "verify_verdicts", "violations", "coverage_report", "parsed_nodes", "operation_meta", "names_and_operations", "json_round_trip", "p4_report", "user_prompts", "derived_vocabulary", "arity_violations", "topological_levels"]
+HELD = ["derived_summary", "verify_verdicts", "violations", "coverage_report", "parsed_nodes", "operation_meta", "names_and_operations", "json_round_trip", "p4_report", "user_prompts", "derived_vocabulary", "arity_violations", "topological_levels", "topological_order", "graph_texts", "verdict_texts", "graph_json", "json_read_errors", "recall_cases", "p2_found", "p2_records", "system_prompt", "replayed_responses"]
 
 
 def rows(df):
@@ -40,3 +40,27 @@ def test_derived_graphs_have_the_known_faults(spark, sf):
     counts = {r.rule: r.n for r in core.queries()["derived_summary"](spark, sf).collect()}
     assert counts["recipes"] == 1473 and counts["valid"] == 989 and sum(n for r, n in counts.items() if r not in ("recipes", "valid")) == 774
     assert counts["raw_protein_before_plate"] == 236 and "season_needs_target" not in counts
+
+
+def test_missing_libraries_are_no_missing_subpackage(monkeypatch):
+    """Only the absence of the subpackage itself drops its queries."""
+    import builtins
+    import importlib
+    import sys
+
+    load = builtins.__import__
+
+    def failing(name, *args, **kwargs):
+        if name == "potflow.llm" or name.startswith("potflow.llm."):
+            raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+        return load(name, *args, **kwargs)
+
+    kept = {k: sys.modules.pop(k) for k in list(sys.modules) if k == "potflow.llm" or k.startswith("potflow.llm.")}
+    monkeypatch.setattr(builtins, "__import__", failing)
+    try:
+        with pytest.raises(ModuleNotFoundError):
+            importlib.reload(entry)
+    finally:
+        monkeypatch.undo()
+        sys.modules.update(kept)
+        importlib.reload(entry)

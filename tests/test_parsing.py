@@ -125,3 +125,12 @@ def test_vocabularies(spark):
         r = got[name.replace(" ", "_")]
         assert (r.category, r.is_protein, r.is_liquid) == expected, name
     assert got["spring_onion"].name == "spring onion" and got["garlic"].name == "GARLIC" and "stir" in got and len(got) == 14
+
+
+def test_vocabularies_of_any_size(spark, sf):
+    """A vocabulary that is joined gives what a broadcast one gives."""
+    from potflow.operators.parsing import distinct_responses
+
+    rows, names = distinct_responses(spark.read.parquet(f"{sf}/responses.parquet")), spark.read.parquet(f"{sf}/dim_ingredient.parquet")
+    one, other = ({str(r) for r in parse(rows, names, broadcast=k).collect()} for k in (100_000, 3))
+    assert one == other and len(one) > 20
