@@ -32,15 +32,16 @@ def token_sizes(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str |
     """
     import public_tokenizers
 
-    path, pattern = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        lines = f.read()  # goes with the tasks, so executors need no such file
+    pattern = public_tokenizers.PATTERN
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
 
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             rows = []
@@ -219,9 +220,11 @@ def p7_containers(spark, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark, sf_dir: str) -> DataFrame:
-    """Texts, tokens, containers, those fixed by the reduction, the least number of containers their tokens fill, unused share."""
+    """Texts, tokens, containers, those that one full part fills, the others fixed by the reduction, the least number of
+    containers that the tokens fill, unused share."""
     counts = counts_of(token_sizes(table(spark, sf_dir, "documents")))
     packed, fixed = pack(counts)
     tokens, n = sum(s * c for s, c in counts.items()), sum(k for k, _ in packed)
-    row = (sum(counts.values()), tokens, n, fixed, -(-tokens // CAPACITY), round(1 - tokens / (n * CAPACITY), 6) if n else 0.0)
-    return spark.createDataFrame([row], "n_items long, n_tokens long, n_containers long, n_reduced long, lower_bound long, unused_share double")
+    full = counts.get(CAPACITY, 0)
+    row = (sum(counts.values()), tokens, n, full, fixed - full, -(-tokens // CAPACITY), round(1 - tokens / (n * CAPACITY), 6) if n else 0.0)
+    return spark.createDataFrame([row], "n_items long, n_tokens long, n_containers long, n_full long, n_reduced long, lower_bound long, unused_share double")
