@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import importlib
 import sys
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,7 @@ def arguments(args: list[str]) -> argparse.Namespace:
     coverage.add_argument("--key-variable", default="API_KEY", help="environment variable with the service's key")
     coverage.add_argument("--delay", type=float, default=0.5, help="seconds between two calls, over all tasks")
     coverage.add_argument("--out", default="data/coverage_results", help="folder for the rows (recipes) and one document of counts (summary)")
+    coverage.add_argument("--shared", help="folder that all executors share, if the session names none in spark.checkpoint.dir; in local mode a temporary one is made")
     coverage.add_argument("--verbose", action="store_true")
     commands.add_parser("recall", help="recall of the rules on the labelled suite").add_argument("--verbose", action="store_true")
     return parser.parse_args(args)
@@ -69,6 +71,8 @@ def main(args: list[str]) -> None:
         evaluation.recall_by_rule(results).orderBy("expected_rule").show(100, False)
         evaluation.recall_summary(results).show(1, False)
         return
+    if spark.conf.get("spark.checkpoint.dir", None) is None and (options.shared or spark.sparkContext.master.split("[")[0] == "local"):
+        spark.conf.set("spark.checkpoint.dir", options.shared or f"file://{tempfile.mkdtemp(prefix='potflow-')}")
     module, _, name = (options.client or "").partition(":")
     client = getattr(importlib.import_module(module), name) if module else None
     if options.endpoint and not client:

@@ -13,7 +13,8 @@ from potflow.operators.parsing import parsed_table
 
 def parsed_nodes(spark, sf_dir: str) -> DataFrame:
     rows = parsed_table(spark, sf_dir).where("status = 'success'").select("recipe_id", "attempt", F.explode("nodes").alias("x"))
-    return rows.select("recipe_id", "attempt", *(f"x.{c}" for c in ("node_id", "node_type", "name", "category", "is_protein", "is_liquid", "op_type", "grp")))
+    params = F.from_json(F.concat(F.lit('{"p":'), "x.params", F.lit("}")), "p string")["p"].alias("params")  # without spaces
+    return rows.select("recipe_id", "attempt", *(f"x.{c}" for c in ("node_id", "node_type", "name", "category", "is_protein", "is_liquid", "op_type", "grp")), params)
 
 
 def parsed_edges(spark, sf_dir: str) -> DataFrame:

@@ -49,7 +49,8 @@ built AS (SELECT xo.rid AS recipe_id, i, node_id, node_type,
     CASE WHEN node_type = 'ingredient' THEN CASE WHEN known THEN dcat WHEN json_type(ing, '$.category') = 'VARCHAR' AND ing ->> '$.category' IN {_IN(CATEGORIES)} THEN ing ->> '$.category' ELSE 'vegetable' END END AS category,
     CASE WHEN node_type <> 'ingredient' THEN false WHEN known THEN dprot ELSE coalesce({_TRUE.format("(ing -> '$.is_protein')")}, false) END AS is_protein,
     CASE WHEN node_type <> 'ingredient' THEN false WHEN known THEN dliq ELSE coalesce({_TRUE.format("(ing -> '$.is_liquid')")}, false) END AS is_liquid,
-    CASE WHEN node_type = 'operation' THEN xo.op_type END AS op_type
+    CASE WHEN node_type = 'operation' THEN xo.op_type END AS op_type,
+    CASE WHEN node_type = 'operation' THEN CASE json_type(node, '$.operation.params') WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN node ->> '$.operation.params' ELSE coalesce(CAST(json(node -> '$.operation.params') AS VARCHAR), '{{}}') END END AS params
   FROM xo JOIN r ON r.recipe_id = xo.rid),
 n AS (SELECT built.*, min(i) OVER (PARTITION BY recipe_id, node_id) AS pos, op.grp FROM built LEFT JOIN op ON op.op_type = built.op_type
   QUALIFY row_number() OVER (PARTITION BY recipe_id, node_id ORDER BY i DESC) = 1),
@@ -77,7 +78,7 @@ SQL = {
     "recall_summary": _CASES + REST + _RECALL + """SELECT *, coalesce(true_positives / nullif(n_violation_cases, 0), 0.0) AS recall FROM (SELECT count(*) AS n_total, count(*) FILTER (expected_rule <> 'none') AS n_violation_cases,
   count(*) FILTER (expected_rule = 'none') AS n_control_cases, count(*) FILTER (outcome = 'TP') AS true_positives, count(*) FILTER (outcome = 'FN') AS false_negatives, count(*) FILTER (outcome = 'FP') AS false_positives FROM judged)""",
     "parse_outcomes": RESPONSES + REST + "SELECT recipe_id, attempt, status, category, failure_code FROM outcome",
-    "parsed_nodes": RESPONSES + REST + "SELECT o.recipe_id, o.attempt, n.node_id, n.node_type, n.name, n.category, n.is_protein, n.is_liquid, n.op_type, n.grp FROM n JOIN outcome o ON o.rid = n.recipe_id",
+    "parsed_nodes": RESPONSES + REST + "SELECT o.recipe_id, o.attempt, n.node_id, n.node_type, n.name, n.category, n.is_protein, n.is_liquid, n.op_type, n.grp, n.params FROM n JOIN outcome o ON o.rid = n.recipe_id",
     "parsed_edges": RESPONSES + REST + "SELECT o.recipe_id, o.attempt, e.edge_seq, e.src, e.dst FROM e JOIN outcome o ON o.rid = e.recipe_id",
     "coverage_report": RESPONSES + REST + _REPORT + """SELECT recipe_id, attempt, status, category, failure_code, is_valid,
   CASE WHEN status = 'success' THEN coalesce((SELECT string_agg(rule, ',' ORDER BY rule_ord) FROM kept WHERE kept.recipe_id = fired.rid), '') END AS violations FROM fired""",
